@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from proselens.llm import decontaminate
+from proselens.llm import decontaminate, line_dedup, mixing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op5_line_dedup": line_dedup.query,
+    "op7_mix": mixing.query,
 }
 
 ORACLES = {
