@@ -1,14 +1,16 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from proselens.llm import decontaminate, jaccard_join, line_dedup, mixing
+from proselens.llm import decontaminate, jaccard_join, line_dedup, mixing, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_secrets": secrets.query,
     "op7_mix": mixing.query,
     "op10_jaccard_join": jaccard_join.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op6_secrets": secrets.ORACLE,
 }
