@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proselens.session import reachable
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 FALLBACK_DIR = "/tmp/checkpoints/proselens"
 
@@ -40,6 +42,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """Few rows an Arrow batch, as texts may be long; a setting that the user chose stays."""
+    reachable(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
