@@ -36,12 +36,21 @@ from pyspark.sql import functions as F
 from proselens.llm.shared import text_batches, written
 from proselens.llm.textkit import SPACES, Texts, slices
 
+#: What a sentence of a toxic and of a clean document costs on the wrong side.
+COSTS = (6.0, 4.0)
+
+#: Letters inserted into toxic landmarks to make examples, and what such a one costs to a real one.
+INSERTED, INSERTED_COST = "xou", 0.5
+
 #: Rounds of learning; after each, toxic documents without a sentence on the toxic side are set aside as label noise.
 ROUNDS = 5
 
 #: The bound on what is learnt from: labelled documents of each label.
 TRAIN_DOCS = 4000
 
+#: Bytes of text taken at once; small, as arrays of windows are many times larger.
+SLICE = 1 << 19
+
 DECAY = 0.6
 SPAN = 8  # letters that a subsequence spans at most
 WINDOWS = (5, 6, 7)  # letters of the windows of a unit; the mark in front of a unit is one; a unit of LEAST is its own window
@@ -51,7 +60,7 @@ THRESHOLD = 0.3
 
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 16
 
-_CACHE = 1 << 20
+_CACHE, _ROWS = 1 << 20, 1 << 15
 
 #: Letters 1-26, look-alike digits as letters, 27 for other characters, 0 between units, 255 for what is left out.
 _CODE = np.full(256, 255, np.uint8)
@@ -177,7 +186,7 @@ class Landmarks:
         self.used = self.table.any(axis=1)
         self.hashes = np.zeros(_CACHE, np.uint64)
         self.slots = np.full(_CACHE, -1, np.int32)
-        self.rows: list[np.ndarray] = []
+        self.rows, self.n_rows = np.zeros((4096, len(self.strings)), np.float32), 0
 
     def compare(self, codes: np.ndarray) -> np.ndarray:
         """Kernels of units of one length with all landmarks, 0 below the floor."""
@@ -199,9 +208,9 @@ class Landmarks:
         return out
 
     def known(self, coded: _Coded) -> np.ndarray:
-        """For each unit the row of self.rows with its kernels, or -1 where it is like no landmark."""
-        if len(self.rows) > 100_000:
-            self.rows.clear()
+        """For each unit the row of self.rows with its kernels, or -1 where it is like no toxic landmark."""
+        if self.n_rows > _ROWS:
+            self.rows, self.n_rows = self.rows[:4096].copy(), 0
             self.hashes[:] = 0
         unique, first, inverse = np.unique(coded.hashes, return_index=True, return_inverse=True)
         at = (unique & np.uint64(_CACHE - 1)).astype(np.int64)
@@ -214,15 +223,18 @@ class Landmarks:
             number, owner = coded.grams(n, units[which])
             kinds, place = np.unique(number, return_inverse=True)
             kernels = np.concatenate([self.compare(_letters(kinds[lo : lo + 8192], n)) for lo in range(0, kinds.size, 8192)] or [np.zeros((0, len(self.strings)), np.float32)])
-            like = kernels.any(axis=1)
+            like = kernels[:, : self.n_toxic].any(axis=1)
             for i in np.flatnonzero(like[place]).tolist():
                 unit = int(which[owner[i]])
                 row = kernels[place[i]]
                 likeness[unit] = np.maximum(likeness[unit], row) if unit in likeness else row
         slot[new] = -1
         for unit, row in likeness.items():
-            slot[new[unit]] = len(self.rows)
-            self.rows.append(row)
+            if self.n_rows == len(self.rows):
+                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            slot[new[unit]] = self.n_rows
+            self.rows[self.n_rows] = row
+            self.n_rows += 1
         self.hashes[at[new]], self.slots[at[new]] = unique[new], slot[new]
         return slot[inverse]
 
@@ -234,7 +246,7 @@ class Landmarks:
             return np.zeros(0, np.int64), np.zeros((0, len(self.strings)), np.float32)
         text, sentence = coded.text[like], coded.sentence[like]
         begin = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (sentence[1:] != sentence[:-1]))))
-        return text[begin], np.maximum.reduceat(np.stack([self.rows[s] for s in slot[like]]), begin)
+        return text[begin], np.maximum.reduceat(self.rows[slot[like]], begin)
 
 
 @dataclass
@@ -256,11 +268,11 @@ class Model:
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of toxic and of clean documents with each run of 4 to 7 letters, in parts."""
-    for batch in slices(batches, "text"):
+    """Numbers of toxic and of clean documents with each window of letters, in parts."""
+    for batch in slices(batches, "text", SLICE):
         coded, toxic = _Coded(batch.column(1)), np.asarray(batch.column(0)).astype(bool)
         everything = np.arange(coded.starts.size)
-        for n in (LEAST, *WINDOWS):
+        for n in WINDOWS:
             number, owner = coded.grams(n, everything)
             text = coded.text[owner]
             order = np.lexsort((text, number))
@@ -309,7 +321,7 @@ def _instances(strings: list[str], n_toxic: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks = Landmarks(strings, n_toxic)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             label = np.asarray(batch.column(0))
             text, like = landmarks.sentences(_Coded(batch.column(1)))
             order = np.lexsort((-like[:, :n_toxic].max(axis=1, initial=0), text))
@@ -362,11 +374,16 @@ def learn(like: np.ndarray, y: np.ndarray, place: np.ndarray, prior: np.ndarray,
     values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.1))) @ vectors.T
     inputs, best = like @ root, place == 0
+    # insults with a letter too many are sentences of their own, so that the machine stays open to them where clean text allows
+    spelt = [(s[1:k] + x + s[k:]) for s in strings[:n_toxic] if s[0] == "|" for k in range(2, len(s)) for x in INSERTED]
+    spelt = [t.replace("|", "").replace("{", "\u00e9") for t in spelt]
+    extra = landmarks.sentences(_Coded(pa.array(spelt, pa.string())))[1].astype(float) @ root
     believed = y > 0
     for _ in range(ROUNDS):
         use = (y == 0) | (believed & best)
-        balance = np.where(y > 0, 1000 / max(1, (use & (y > 0)).sum()), 1000 / max(1, (use & (y == 0)).sum()))
-        w, bias = train_svm(inputs[use], np.where(y > 0, 1.0, -1.0)[use], balance[use])
+        cost = np.where(y > 0, COSTS[0], COSTS[1])
+        x, sign = np.concatenate((inputs[use], extra)), np.concatenate((np.where(y > 0, 1.0, -1.0)[use], np.ones(len(extra))))
+        w, bias = train_svm(x, sign, np.concatenate((cost[use], np.full(len(extra), COSTS[0] * INSERTED_COST))))
         again = (y > 0) & (inputs @ w + bias > 0)
         if (again & best).sum() < 5 or (again == believed).all():
             break
@@ -416,7 +433,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         landmarks = Landmarks(model.strings, model.n_toxic)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(landmarks, _Coded(batch.column(at))), pa.float64())], names=names)
 
     return docs.mapInArrow(run, docs.selectExpr("*", "0D AS __score").schema)
