@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from proselens.llm import decontaminate, jaccard_join, line_dedup, mixing, secrets, toxicity
+from proselens.llm import decontaminate, hnsw, jaccard_join, line_dedup, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op3_hnsw": hnsw.query,
     "op4_toxicity": toxicity.query,
     "op5_line_dedup": line_dedup.query,
     "op6_secrets": secrets.query,
