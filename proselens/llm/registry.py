@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from proselens.llm import decontaminate, hnsw, jaccard_join, licenses, line_dedup, mixing, secrets, toxicity
+from proselens.llm import decontaminate, hnsw, jaccard_join, licenses, line_dedup, mixing, secrets, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_warc": warc.query,
     "op3_hnsw": hnsw.query,
     "op4_toxicity": toxicity.query,
     "op5_line_dedup": line_dedup.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op6_secrets": secrets.ORACLE,
 }
