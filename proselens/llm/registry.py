@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, as __spark_entry__.py registers them."""
 
-from proselens.llm import decontaminate, hnsw, jaccard_join, licenses, line_dedup, mixing, secrets, toxicity, warc
+from proselens.llm import decontaminate, hnsw, jaccard_join, licenses, line_dedup, mixing, passages, secrets, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.query,
     "op6_secrets": secrets.query,
     "op7_mix": mixing.query,
+    "op8_passages": passages.query,
     "op9_licenses": licenses.query,
     "op10_jaccard_join": jaccard_join.query,
 }
