@@ -38,3 +38,18 @@ def unclaimed(sentences: DataFrame, units: DataFrame, key: str) -> DataFrame:
 def orphans(spans: DataFrame, placed: DataFrame, key: str) -> DataFrame:
     """K9: spans that touch no located sentence; they stand for the whole comment."""
     return spans.join(placed.select(key, "rule", "start", "end"), [key, "rule", "start", "end"], "left_anti")
+
+
+def disabled_lines(lines: DataFrame, key: str) -> DataFrame:
+    """lines(key, pos, off, on): off takes effect on its own line, on after its own."""
+    order = Window.partitionBy(key).orderBy("pos")
+    change = F.when(F.col("on"), F.lit(False)).when(F.col("off"), F.lit(True))
+    after = F.last(change, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = lines.withColumn("after", after)
+    return marked.withColumn("disabled", F.col("off") | F.coalesce(F.lag("after").over(order), F.lit(False))).drop("after")
+
+
+def live_blocks(blocks: DataFrame, disabled: DataFrame, key: str) -> DataFrame:
+    """blocks(key, start, end) that touch no disabled line: a range anti-join."""
+    d = disabled.filter("disabled").select(F.col(key).alias("__key"), "pos")
+    return blocks.join(d, (F.col(key) == F.col("__key")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")), "left_anti")
