@@ -11,7 +11,7 @@ from proselens.functions.normalize import collapse
 PLACEHOLDER = "\u0001"
 
 # Fixed values.
-ABBREVIATION = r"(?i)\b([A-Za-z]|etc|vs|mr|mrs|ms|dr|prof|sr|jr|st|vol|fig|no|approx|cf|al)\."
+ABBREVIATION = r"(?iU)\b([A-Za-z]|etc|vs|mr|mrs|ms|dr|prof|sr|jr|st|vol|fig|no|approx|cf|al)\."
 BOUNDARY = r"(?<=[.!?])[\"')\]]?\s+(?=[A-Z0-9\"'(])"
 CHECKER_BOUNDARY = r"(?<=[.!?])\s+|\n\s*\n"
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,8 +110,8 @@ def norm_block_strip(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(normalize.strip_block(raw), 256).alias("digest"))
 
 
-@_add("""SELECT doc_id, length(array_to_string(CASE WHEN at > 0 THEN ls[1:at - 1] ELSE ls END, chr(10))) AS n FROM (
-SELECT doc_id, ls, coalesce(list_position(list_transform(ls, lambda l: regexp_matches(l, '^\\s*@\\w')), true), 0) AS at FROM (
+@_add("""SELECT doc_id, length(array_to_string(CASE WHEN tag > 0 THEN ls[1:tag - 1] ELSE ls END, chr(10))) AS n FROM (
+SELECT doc_id, ls, coalesce(list_position(list_transform(ls, lambda l: regexp_matches(l, '^\\s*@\\w')), true), 0) AS tag FROM (
 SELECT doc_id, string_split(concat(CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), concat(chr(10), '@param ')) ELSE text END, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), ' @return x') ELSE '' END), chr(10)) AS ls FROM documents))""")
 def norm_tag_truncate(spark, d):
     tagged = F.concat(F.when(F.col("doc_id") % 3 == 0, F.replace(T, F.lit("\n"), F.lit("\n@param "))).otherwise(T), F.when(F.col("doc_id") % 2 == 0, F.lit("\n @return x")).otherwise(F.lit("")))
@@ -130,7 +129,16 @@ def ws_collapse(spark, d):
 
 # ---------------------------------------------------------------- sentences
 
-_PROTECTED = f"regexp_replace({_COLLAPSED}, {_q(sentences.ABBREVIATION)}, concat('\\1', chr(1)), 'g')"
+#: RE2's word boundary knows ASCII alone; a letter in front is excluded by name, and two passes take neighbours.
+_SHORT = "'(?i)(^|[^\\p{L}\\p{N}_])([A-Za-z]|etc|vs|mr|mrs|ms|dr|prof|sr|jr|st|vol|fig|no|approx|cf|al)\\.'"
+
+
+def _protected(text: str) -> str:
+    once = f"regexp_replace({text}, {_SHORT}, concat('\\1\\2', chr(1)), 'g')"
+    return f"regexp_replace({once}, {_SHORT}, concat('\\1\\2', chr(1)), 'g')"
+
+
+_PROTECTED = _protected(_COLLAPSED)
 _SPLIT = f"list_filter(list_transform(string_split(regexp_replace({_PROTECTED}, '([.!?])[\"'')\\]]?\\s+([A-Z0-9\"''(])', concat('\\1', chr(2), '\\2'), 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"
 
 
@@ -148,7 +156,7 @@ def sentence_stats(spark, d):
 _ABBREVIATED = "concat('Mr. A. Smith vs. Dr. b. etc. e.g. this. ', left(text, 200))"
 
 
-@_add(f"SELECT doc_id, replace(regexp_replace({_ABBREVIATED}, {_q(sentences.ABBREVIATION)}, concat('\\1', chr(1)), 'g'), chr(1), '|') AS view FROM documents")
+@_add(f"SELECT doc_id, replace({_protected(_ABBREVIATED)}, chr(1), '|') AS view FROM documents")
 def abbrev_protect(spark, d):
     return _docs(spark, d).select("doc_id", F.replace(sentences.protect(F.expr(_ABBREVIATED)), F.lit(sentences.PLACEHOLDER), F.lit("|")).alias("view"))
 
@@ -543,7 +551,7 @@ def labels_union_intersect(spark, d):
     return _two(spark, d).select("doc_id", F.array_join("labels", ",").alias("united"), F.array_join("labels_agreed", ",").alias("agreed"))
 
 
-@_add(f"WITH {_TWO} SELECT d.doc_id, array_to_string(coalesce(list_sort(list_distinct(list_concat(a, b))), ['P1']), ',') AS labels, coalesce({_AGREE.replace('ELSE', 'WHEN a IS NOT NULL THEN')}, 'full') AS agreement FROM documents d LEFT JOIN x USING (doc_id)")
+@_add(f"WITH {_TWO} SELECT d.doc_id, array_to_string(CASE WHEN a IS NULL THEN ['P1'] ELSE list_sort(list_distinct(list_concat(a, b))) END, ',') AS labels, coalesce({_AGREE.replace('ELSE', 'WHEN a IS NOT NULL THEN')}, 'full') AS agreement FROM documents d LEFT JOIN x USING (doc_id)")
 def labels_with_fallback(spark, d):
     pairs = _docs(spark, d).select("doc_id", F.array(F.lit("P1")).alias("labels"))
     return agreement.with_labels(pairs, _two(spark, d), ["doc_id"]).select("doc_id", F.array_join("labels", ",").alias("labels"), "agreement")
@@ -759,15 +767,18 @@ def events_session(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as comments: verdicts, code points, checkers, and a score by punctuation, ranked worst first."""
-    rows = _docs(spark, sf_dir).select("doc_id", "source", T, predicates.verdict(T, T).alias("verdict"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("path"), T, predicates.verdict(T, T).alias("verdict"))
     prose = rows.filter("verdict = 'prose'")
-    fired = checkers.check(prose).select("doc_id", "source", "rule", "score", F.lit("heuristic").alias("origin"), "clauses")
-    code = rows.filter("verdict = 'code'").select("doc_id", "source", F.lit("C2").alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("origin"), F.array().cast("array<string>").alias("clauses"))
-    points = prose.select("doc_id", "source", codepoints.disallowed(T).alias("points")).filter("size(points) > 0")
-    marked = points.select("doc_id", "source", F.lit("C13").alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("origin"), F.transform("points", codepoints.hexadecimal).alias("clauses"))
-    every = reduce(DataFrame.unionByName, [fired, code, marked])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.when(F.col("rule") == "C2", 0).when(F.col("rule") == "C13", 1).otherwise(2)))
-    return every.withColumn("n", first).filter("n = 1").drop("n").orderBy("source", "doc_id")
+    found = lambda df, rule, clauses: df.select("doc_id", "path", F.lit(rule).alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("source"), clauses.alias("clauses"))
+    code = found(rows.filter("verdict = 'code'"), "C2", F.array().cast("array<string>"))
+    points = prose.withColumn("points", codepoints.disallowed(T)).filter("size(points) > 0")
+    marked = found(points, "C13", F.transform("points", codepoints.hexadecimal))
+    fired = checkers.check(prose).select("doc_id", "path", "rule", "score", "source", "clauses")
+    every = code.unionByName(marked).unionByName(fired)
+    rank = F.when(F.col("rule") == "C2", 0).when(F.col("rule") == "C13", 1).otherwise(2)  # F8: the first claims the row
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank))
+    named = every.withColumn("n", first).filter("n = 1").drop("n").withColumns({"line": F.lit(1), "seq": F.col("doc_id")})
+    return ranking.report_order(named, show_code=True).drop("line", "seq")
 
 
 _QUERIES["scan_documents"] = flagship
