@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +55,13 @@ def shingles_of(words: list[str]) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + k]) for i in range(len(words) - k + 1)))
 
 
-def anchors_of(words: list[str], percent: int = PERCENT) -> list[str]:
-    """Words, long ones first, such that any `percent` of the shingles hold one."""
+def anchors_of(words: list[str], percent: int = PERCENT, usual: dict[str, int] | None = None) -> list[str]:
+    """Words such that any `percent` of the shingles hold one; words of many templates first, then long ones."""
     shingles = [set(s.split()) for s in shingles_of(words)]
     free, taken = len(shingles) - math.ceil(percent * len(shingles) / 100), []
-    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+    for word in sorted(set(words), key=lambda w: (len(w) < 6, -(usual or {}).get(w, 0), -len(w), w)):
         taken.append(word)
-        if sum(not (s & set(taken)) for s in shingles) <= free and sum(bool(s & set(taken)) for s in shingles) > free:
+        if sum(bool(s & set(taken)) for s in shingles) > free:
             break
     return taken
 
@@ -67,14 +69,14 @@ def anchors_of(words: list[str], percent: int = PERCENT) -> list[str]:
 class Plan:
     """Window, stride, bands and anchors of one template."""
 
-    def __init__(self, text: str, percent: int = PERCENT, miss: float = MISS):
+    def __init__(self, text: str, percent: int = PERCENT, miss: float = MISS, usual: dict[str, int] | None = None):
         self.words = words_of(text)
         self.shingles = shingles_of(self.words)
         n = len(self.words)
         self.k = min(WORDS, n)
         self.window = n if n < WORDS else math.ceil(1.25 * n)
         self.stride = max(1, n // 8) if n > 16 else 1
-        self.anchors = anchors_of(self.words, percent)
+        self.anchors = anchors_of(self.words, percent, usual)
         need = math.ceil(percent * len(self.shingles) / 100)
         similar = need / (self.window - self.k + 1 + len(self.shingles) - need)
         self.bands = max(1, math.ceil(math.log(miss) / math.log(1 - similar**2))) if similar < 1 else 1
@@ -83,9 +85,13 @@ class Plan:
 def matches(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """(doc_id, text_hash, license, containment, word): the best window of each template in each document that has it."""
     spark = docs.sparkSession
-    plans = {name: Plan(text, percent, miss) for name, text in (templates or TEMPLATES).items()}
-    anchors = sorted(set().union(*(p.anchors for p in plans.values())))
-    some = docs.filter(F.col("text").rlike("(?i)" + "|".join(anchors))).select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
+    texts = templates or TEMPLATES
+    usual = Counter(w for text in texts.values() for w in set(words_of(text)))
+    plans = {name: Plan(text, percent, miss, usual) for name, text in texts.items()}
+    anchors = set().union(*(p.anchors for p in plans.values()))
+    # as parts of the text; one that holds another is not asked for
+    least = sorted(a for a in anchors if not any(b != a and b in a for b in anchors))
+    some = docs.filter(reduce(lambda x, y: x | y, [F.contains(F.lower("text"), F.lit(a)) for a in least])).select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
     some = some.repartition("text_hash", "doc_id")  # few texts, long ones among them
     out = None
     for shape in sorted({(p.window, p.stride, p.k) for p in plans.values()}):
