@@ -38,7 +38,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-T = F.col("text")
+
+
+def _t() -> Column:
+    return F.col("text")
+
 
 # ---------------------------------------------------------------- verdicts
 
@@ -54,22 +58,22 @@ _VERDICT = f"CASE WHEN length(text) < 40 OR {_DIRECTIVE} OR {_LICENSE} THEN 'ski
 
 @_add(f"SELECT {_VERDICT} AS verdict, count(*) AS n FROM documents GROUP BY 1")
 def verdict_counts(spark, d):
-    return _docs(spark, d).select(predicates.verdict(T, T).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    return _docs(spark, d).select(predicates.verdict(_t(), _t()).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @_add(f"SELECT lang, {_VERDICT} AS verdict, count(*) AS n, avg(length(text)) AS mean_chars FROM documents GROUP BY 1, 2")
 def verdict_by_lang(spark, d):
-    return _docs(spark, d).select("lang", predicates.verdict(T, T).alias("verdict"), F.length("text").alias("c")).groupBy("lang", "verdict").agg(F.count("*").alias("n"), F.avg("c").alias("mean_chars"))
+    return _docs(spark, d).select("lang", predicates.verdict(_t(), _t()).alias("verdict"), F.length("text").alias("c")).groupBy("lang", "verdict").agg(F.count("*").alias("n"), F.avg("c").alias("mean_chars"))
 
 
 @_add("SELECT CASE WHEN length(text) < 40 THEN 'skip' ELSE 'prose' END AS verdict, count(*) AS n FROM documents GROUP BY 1")
 def markdown_verdicts(spark, d):
-    return _docs(spark, d).groupBy(predicates.markdown_verdict(T).alias("verdict")).agg(F.count("*").alias("n"))
+    return _docs(spark, d).groupBy(predicates.markdown_verdict(_t()).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @_add(f"SELECT doc_id, {_LICENSE} AS in_window, regexp_matches(text, {_q(predicates.LICENSE)}) AS anywhere FROM documents")
 def license_window(spark, d):
-    return _docs(spark, d).select("doc_id", predicates.is_license(T).alias("in_window"), T.rlike(predicates.LICENSE).alias("anywhere"))
+    return _docs(spark, d).select("doc_id", predicates.is_license(_t()).alias("in_window"), _t().rlike(predicates.LICENSE).alias("anywhere"))
 
 
 _MARKED = "CASE doc_id % 5 WHEN 0 THEN '/* eslint-disable */ ' WHEN 1 THEN '# noqa: ' WHEN 2 THEN '// prettier-ignore ' WHEN 3 THEN 'type: ignore ' ELSE '' END"
@@ -77,13 +81,13 @@ _MARKED = "CASE doc_id % 5 WHEN 0 THEN '/* eslint-disable */ ' WHEN 1 THEN '# no
 
 @_add(f"SELECT doc_id, {_DIRECTIVE} AS directive FROM (SELECT doc_id, {_MARKED} || text AS text FROM documents)")
 def directive_skip(spark, d):
-    marked = _docs(spark, d).select("doc_id", F.concat(F.expr(_MARKED), T).alias("text"))
-    return marked.select("doc_id", predicates.is_directive(T, T).alias("directive"))
+    marked = _docs(spark, d).select("doc_id", F.concat(F.expr(_MARKED), _t()).alias("text"))
+    return marked.select("doc_id", predicates.is_directive(_t(), _t()).alias("directive"))
 
 
 @_add(f"SELECT doc_id, round({_SHARE}, 6) AS share, {_LOW} AS low FROM documents")
 def low_prose_ratio(spark, d):
-    return _docs(spark, d).select("doc_id", F.round(predicates.punctuation_share(T), 6).alias("share"), predicates.low_prose(T).alias("low"))
+    return _docs(spark, d).select("doc_id", F.round(predicates.punctuation_share(_t()), 6).alias("share"), predicates.low_prose(_t()).alias("low"))
 
 
 _CODE_TEXT = "concat('const part', p_partkey, ' = find(', p_size, ');', chr(10), CASE WHEN p_size % 3 = 0 THEN 'and it was kept as the older one' ELSE 'return [part];' END)"
@@ -91,7 +95,7 @@ _CODE_TEXT = "concat('const part', p_partkey, ' = find(', p_size, ');', chr(10),
 
 @_add(f"SELECT p_partkey, {_CODE} AS code FROM (SELECT p_partkey, {_CODE_TEXT} AS text FROM part)")
 def code_line_share(spark, d):
-    return _table(spark, d, "part").select("p_partkey", F.expr(_CODE_TEXT).alias("text")).select("p_partkey", predicates.looks_like_code(T).alias("code"))
+    return _table(spark, d, "part").select("p_partkey", F.expr(_CODE_TEXT).alias("text")).select("p_partkey", predicates.looks_like_code(_t()).alias("code"))
 
 
 # ---------------------------------------------------------------- normalisation
@@ -99,14 +103,14 @@ def code_line_share(spark, d):
 
 @_add("SELECT doc_id, sha256(array_to_string(list_transform(string_split(concat('// ', replace(text, chr(10), concat(chr(13), chr(10), '//  '))).replace(concat(chr(13), chr(10)), chr(10)), chr(10)), lambda l: regexp_replace(l, '^\\s*//+\\s?', '')), chr(10))) AS digest FROM documents")
 def norm_line_strip(spark, d):
-    raw = F.concat(F.lit("// "), F.replace(T, F.lit("\n"), F.lit("\r\n//  ")))
+    raw = F.concat(F.lit("// "), F.replace(_t(), F.lit("\n"), F.lit("\r\n//  ")))
     return _docs(spark, d).select("doc_id", F.sha2(normalize.strip_slashes(raw), 256).alias("digest"))
 
 
 @_add("""SELECT doc_id, sha256(array_to_string(list_transform(ls, lambda l, i: CASE WHEN i = 1 THEN l ELSE regexp_replace(l, '^\\s*\\*(\\s|$)', '') END), chr(10))) AS digest FROM (
 SELECT doc_id, string_split(regexp_replace(regexp_replace(concat('/** ', replace(text, chr(10), concat(chr(10), ' * ')), ' */'), '[ \\t]*\\*/[ \\t]*$', ''), '^/\\*+[ \\t]?', ''), chr(10)) AS ls FROM documents)""")
 def norm_block_strip(spark, d):
-    raw = F.concat(F.lit("/** "), F.replace(T, F.lit("\n"), F.lit("\n * ")), F.lit(" */"))
+    raw = F.concat(F.lit("/** "), F.replace(_t(), F.lit("\n"), F.lit("\n * ")), F.lit(" */"))
     return _docs(spark, d).select("doc_id", F.sha2(normalize.strip_block(raw), 256).alias("digest"))
 
 
@@ -114,7 +118,7 @@ def norm_block_strip(spark, d):
 SELECT doc_id, ls, coalesce(list_position(list_transform(ls, lambda l: regexp_matches(l, '^\\s*@\\w')), true), 0) AS tag FROM (
 SELECT doc_id, string_split(concat(CASE WHEN doc_id % 3 = 0 THEN replace(text, chr(10), concat(chr(10), '@param ')) ELSE text END, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), ' @return x') ELSE '' END), chr(10)) AS ls FROM documents))""")
 def norm_tag_truncate(spark, d):
-    tagged = F.concat(F.when(F.col("doc_id") % 3 == 0, F.replace(T, F.lit("\n"), F.lit("\n@param "))).otherwise(T), F.when(F.col("doc_id") % 2 == 0, F.lit("\n @return x")).otherwise(F.lit("")))
+    tagged = F.concat(F.when(F.col("doc_id") % 3 == 0, F.replace(_t(), F.lit("\n"), F.lit("\n@param "))).otherwise(_t()), F.when(F.col("doc_id") % 2 == 0, F.lit("\n @return x")).otherwise(F.lit("")))
     return _docs(spark, d).select("doc_id", F.length(normalize.truncate_at_tags(tagged)).alias("n"))
 
 
@@ -123,7 +127,7 @@ _COLLAPSED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 @_add(f"SELECT doc_id, length({_COLLAPSED}) AS n, sha256({_COLLAPSED}) AS digest FROM documents")
 def ws_collapse(spark, d):
-    c = normalize.collapse(T)
+    c = normalize.collapse(_t())
     return _docs(spark, d).select("doc_id", F.length(c).alias("n"), F.sha2(c, 256).alias("digest"))
 
 
@@ -144,12 +148,12 @@ _SPLIT = f"list_filter(list_transform(string_split(regexp_replace({_PROTECTED},
 
 @_add(f"SELECT doc_id, unnest(range(0, len(s)))::INTEGER AS i, unnest(s) AS sentence FROM (SELECT doc_id, {_SPLIT} AS s FROM documents)")
 def sentence_explode(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(sentences.split_sentences(T)).alias("i", "sentence"))
+    return _docs(spark, d).select("doc_id", F.posexplode(sentences.split_sentences(_t())).alias("i", "sentence"))
 
 
 @_add(f"SELECT lang, sum(len(s))::BIGINT AS n, max(list_max(list_transform(s, lambda x: length(x)))) AS longest FROM (SELECT lang, {_SPLIT} AS s FROM documents) GROUP BY lang")
 def sentence_stats(spark, d):
-    s = _docs(spark, d).select("lang", sentences.split_sentences(T).alias("s"))
+    s = _docs(spark, d).select("lang", sentences.split_sentences(_t()).alias("s"))
     return s.groupBy("lang").agg(F.sum(F.size("s")).alias("n"), F.max(F.array_max(F.transform("s", lambda x: F.length(x)))).alias("longest"))
 
 
@@ -163,7 +167,7 @@ def abbrev_protect(spark, d):
 
 @_add("SELECT doc_id, len(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), '\\n\\s*\\n', chr(1), 'g'), chr(1)))::INTEGER AS n FROM documents")
 def checker_sentence_split(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(sentences.split_for_checkers(T)).alias("n"))
+    return _docs(spark, d).select("doc_id", F.size(sentences.split_for_checkers(_t())).alias("n"))
 
 
 # ---------------------------------------------------------------- code points
@@ -175,19 +179,19 @@ _POINTS = "list_distinct(list_filter(list_transform(string_split(text, ''), lamb
 @_add(f"SELECT doc_id, array_to_string(list_sort({_POINTS}), ',') AS points FROM (SELECT doc_id, {_DASHED} AS text FROM documents)")
 def codepoints_distinct(spark, d):
     rows = _docs(spark, d).select("doc_id", F.expr(_DASHED).alias("text"))
-    return rows.select("doc_id", F.array_join(F.array_sort(codepoints.disallowed(T)).cast("array<string>"), ",").alias("points"))
+    return rows.select("doc_id", F.array_join(F.array_sort(codepoints.disallowed(_t())).cast("array<string>"), ",").alias("points"))
 
 
 @_add(f"SELECT doc_id, len(list_filter({_POINTS}, lambda x: NOT (x BETWEEN 8208 AND 8213) AND NOT (x BETWEEN 128512 AND 128591)))::INTEGER AS n FROM (SELECT doc_id, {_DASHED} AS text FROM documents)")
 def codepoints_whitelist(spark, d):
     rows = _docs(spark, d).select("doc_id", F.expr(_DASHED).alias("text"))
     allowed = [codepoints.parse_entry("U+2010-U+2015"), codepoints.parse_entry("U+1F600-U+1F64F")]
-    return rows.select("doc_id", F.size(codepoints.disallowed(T, allowed)).alias("n"))
+    return rows.select("doc_id", F.size(codepoints.disallowed(_t(), allowed)).alias("n"))
 
 
 @_add(f"SELECT format('U+{{:04X}}', p) AS point, count(*) AS n FROM (SELECT unnest({_POINTS}) AS p FROM (SELECT doc_id, {_DASHED} AS text FROM documents)) GROUP BY 1")
 def codepoint_hex(spark, d):
-    rows = _docs(spark, d).select(F.expr(_DASHED).alias("text")).select(F.explode(codepoints.disallowed(T)).alias("p"))
+    rows = _docs(spark, d).select(F.expr(_DASHED).alias("text")).select(F.explode(codepoints.disallowed(_t())).alias("p"))
     return rows.groupBy(codepoints.hexadecimal(F.col("p")).alias("point")).agg(F.count("*").alias("n"))
 
 
@@ -210,7 +214,7 @@ def p14_expletive(spark, d):
 
 @_add(f"SELECT doc_id, length(c[len(c)]) AS n, len(c)::INTEGER AS clauses FROM (SELECT doc_id, string_split(regexp_replace(text, {_q(lexicon.CLAUSE_CUT.pattern)}, chr(1), 'g'), chr(1)) AS c FROM documents)")
 def p14_clause_cut(spark, d):
-    parts = F.split(T, lexicon.CLAUSE_CUT.pattern, -1)
+    parts = F.split(_t(), lexicon.CLAUSE_CUT.pattern, -1)
     return _docs(spark, d).select("doc_id", F.length(F.element_at(parts, -1)).alias("n"), F.size(parts).alias("clauses"))
 
 
@@ -219,17 +223,17 @@ _FENCE = lexicon.COMMA_FENCE.pattern.replace("?P<subject>", "").replace("?P<fenc
 
 @_add(f"SELECT doc_id, len(regexp_extract_all(text, {_q(_FENCE)}))::INTEGER AS n FROM documents")
 def p13_candidates(spark, d):
-    return _docs(spark, d).select("doc_id", F.regexp_count(T, F.lit(_FENCE)).alias("n"))
+    return _docs(spark, d).select("doc_id", F.regexp_count(_t(), F.lit(_FENCE)).alias("n"))
 
 
 @_add(f"SELECT doc_id, f, len(regexp_extract_all(f, '[A-Za-z][A-Za-z''_.-]*'))::INTEGER AS words FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_q(_FENCE)}, 2)) AS f FROM documents) WHERE words >= 4")
 def p13_min_words(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(T, F.lit(_FENCE), F.lit(2))).alias("f"))
+    rows = _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(_t(), F.lit(_FENCE), F.lit(2))).alias("f"))
     return rows.withColumn("words", F.regexp_count("f", F.lit(lexicon.WORD.pattern))).filter(f"words >= {lexicon.LEAST_FENCED_WORDS}")
 
 
 def _spans(df: DataFrame, rule: str, key: str) -> DataFrame:
-    fired = df.filter(checkers.prefilter(T, (rule,))).select(key, F.explode(checkers.spans_of(rule)(T)).alias("s"))
+    fired = df.filter(checkers.prefilter(_t(), (rule,))).select(key, F.explode(checkers.spans_of(rule)(_t())).alias("s"))
     return fired.select(key, "s.*")
 
 
@@ -240,23 +244,23 @@ def p14_spans(spark, d):
 
 @_add()
 def p13_spans(spark, d):
-    return _spans(_docs(spark, d).select("doc_id", T), "P13", "doc_id")
+    return _spans(_docs(spark, d).select("doc_id", _t()), "P13", "doc_id")
 
 
 @_add()
 def p15_spans(spark, d):
-    return _spans(_docs(spark, d).select("doc_id", F.replace(T, F.lit(", "), F.lit(" — ")).alias("text")), "P15", "doc_id")
+    return _spans(_docs(spark, d).select("doc_id", F.replace(_t(), F.lit(", "), F.lit(" — ")).alias("text")), "P15", "doc_id")
 
 
 @_add()
 def first_checker(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace(T, F.lit(", "), F.lit(" — "))).otherwise(T).alias("text"))
+    rows = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace(_t(), F.lit(", "), F.lit(" — "))).otherwise(_t()).alias("text"))
     return checkers.check(rows).select("doc_id", "rule", "score", "source", F.size("spans").alias("n_spans"), "clauses")
 
 
 @_add()
 def structure_tokens(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.explode(checkers.structure_column()(T)).alias("token"))
+    rows = _docs(spark, d).select("doc_id", F.explode(checkers.structure_column()(_t())).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
@@ -278,14 +282,14 @@ def run_merge(spark, d):
 
 @_add()
 def extract_cstyle(spark, d):
-    source = F.concat(F.lit("const a = 1; // "), F.expr("substring_index(text, '\n', 1)"), F.lit("\n/** "), F.replace(T, F.lit("\n"), F.lit("\n * ")), F.lit(" */\n// one\n// two\nlet r = /[/]x/g, q = a / 2;\nlet t = `${f({b: `// no`}) /* yes */} // no`;\n"))
+    source = F.concat(F.lit("const a = 1; // "), F.expr("substring_index(text, '\n', 1)"), F.lit("\n/** "), F.replace(_t(), F.lit("\n"), F.lit("\n * ")), F.lit(" */\n// one\n// two\nlet r = /[/]x/g, q = a / 2;\nlet t = `${f({b: `// no`}) /* yes */} // no`;\n"))
     files = _docs(spark, d).select(F.concat(F.lit("f"), "doc_id", F.lit(".ts")).alias("path"), source.alias("text"))
     return extract.extract(files)[0].select("path", "line", "col", "kind", "end_line", F.length("text").alias("n"))
 
 
 @_add()
 def extract_markdown(spark, d):
-    source = F.concat(F.lit("---\nlang: x\n---\n# Title\n\n"), F.replace(T, F.lit("\n"), F.lit("\n\n")), F.lit("\n\n```\ncode\n```\n"))
+    source = F.concat(F.lit("---\nlang: x\n---\n# Title\n\n"), F.replace(_t(), F.lit("\n"), F.lit("\n\n")), F.lit("\n\n```\ncode\n```\n"))
     files = _docs(spark, d).select(F.concat(F.lit("f"), "doc_id", F.lit(".md")).alias("path"), source.alias("text"))
     return extract.extract(files)[0].select("path", "line", "kind", "end_line", F.length("text").alias("n"))
 
@@ -297,7 +301,7 @@ t AS (SELECT doc_id, pos, off OR coalesce(lag(after) OVER (PARTITION BY doc_id O
 
 
 def _line_rows(spark, d) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(F.split(T, "\n")).alias("pos", "line"))
+    return _docs(spark, d).select("doc_id", F.posexplode(F.split(_t(), "\n")).alias("pos", "line"))
 
 
 def _toggled(spark, d) -> DataFrame:
@@ -321,7 +325,7 @@ def block_range_anti(spark, d):
 c AS (SELECT doc_id, bool_or(pos = 0 AND line = '---') AS opened, min(CASE WHEN pos > 0 AND line IN ('---', '...') THEN pos END) AS close FROM l GROUP BY doc_id)
 SELECT doc_id, sum(CASE WHEN opened AND pos <= close THEN 0 ELSE length(line) END)::BIGINT AS chars FROM l JOIN c USING (doc_id) GROUP BY doc_id""")
 def front_matter_blank(spark, d):
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nlang: "), "lang", F.lit("\n...\n"))).otherwise(F.lit("")), T)
+    text = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nlang: "), "lang", F.lit("\n...\n"))).otherwise(F.lit("")), _t())
     lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     doc = Window.partitionBy("doc_id")
     close = F.min(F.when((F.col("pos") > 0) & F.col("line").isin("---", "..."), F.col("pos"))).over(doc)
@@ -387,7 +391,7 @@ _CACHED = f"c AS (SELECT {_FILE}, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE {_STA
 
 
 def _cache_sides(spark, d) -> tuple[DataFrame, DataFrame]:
-    files = cache.stamped(_docs(spark, d).select(F.concat(F.lit("d/"), "doc_id", F.lit(".ts")).alias("path"), "doc_id", T.cast("binary").alias("content")), "v1").drop("content")
+    files = cache.stamped(_docs(spark, d).select(F.concat(F.lit("d/"), "doc_id", F.lit(".ts")).alias("path"), "doc_id", _t().cast("binary").alias("content")), "v1").drop("content")
     stored = files.filter("doc_id % 3 <> 0").select("path", "run_key", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("stamp")).alias("stamp"), (F.col("doc_id") % 4).alias("n_comments"))
     return files, stored
 
@@ -739,7 +743,7 @@ def report_fields(spark, d):
 @_add("SELECT doc_id, left(string_split(text, chr(10))[1], 64) AS head, concat(left(left(text, 60), 5), '[>', substring(left(text, 60), 6, 10), '<]', substring(left(text, 60), 16)) AS marked FROM documents")
 def highlight_headline(spark, d):
     short = F.left("text", F.lit(60))
-    return _docs(spark, d).select("doc_id", display.headline(T).alias("head"), display.highlighted(short, F.lit(5), F.lit(15)).alias("marked"))
+    return _docs(spark, d).select("doc_id", display.headline(_t()).alias("head"), display.highlighted(short, F.lit(5), F.lit(15)).alias("marked"))
 
 
 # ---------------------------------------------------------------- extension: streams
@@ -767,11 +771,11 @@ def events_session(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as comments: verdicts, code points, checkers, and a score by punctuation, ranked worst first."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("path"), T, predicates.verdict(T, T).alias("verdict"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("path"), _t(), predicates.verdict(_t(), _t()).alias("verdict"))
     prose = rows.filter("verdict = 'prose'")
     found = lambda df, rule, clauses: df.select("doc_id", "path", F.lit(rule).alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("source"), clauses.alias("clauses"))
     code = found(rows.filter("verdict = 'code'"), "C2", F.array().cast("array<string>"))
-    points = prose.withColumn("points", codepoints.disallowed(T)).filter("size(points) > 0")
+    points = prose.withColumn("points", codepoints.disallowed(_t())).filter("size(points) > 0")
     marked = found(points, "C13", F.transform("points", codepoints.hexadecimal))
     fired = checkers.check(prose).select("doc_id", "path", "rule", "score", "source", "clauses")
     every = code.unionByName(marked).unionByName(fired)

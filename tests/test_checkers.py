@@ -8,7 +8,7 @@ from proselens.operators import checkers
 
 PREMISES = [
     ("The socket is a shared handle, and it stays open for the run, so callers reuse it.", "it"),
-    ("The workers are forked early, and they never share a lock, so no deadlock can form.", "they"),
+    ("The workers are forked early, and they never run alone, so no deadlock can form.", "they"),
 ]
 NOT_PREMISES = [
     "The socket is a shared handle, and it is clear that it stays, so callers reuse it.",  # expletive
