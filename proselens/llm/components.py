@@ -1,7 +1,7 @@
 """Connected components of a distributed table of links, by alternating star operations.
 
-Each partition first reduces its links to a forest with union-find, then large-star and small-star
-rounds point every node at its smallest neighbour until nothing changes. Every round is a partial
+Each partition first reduces its links to a forest with union-find. Forests of a bounded number of links
+together are united by one more union-find; beyond that bound, large-star and small-star rounds point every node at its smallest neighbour until nothing changes. Every round is a partial
 aggregation and a join on the node, whose hubs adaptive execution splits; each round's links are
 written to the shared folder, so that a lost executor costs a read.
 """
@@ -67,6 +67,8 @@ def connected(links: DataFrame) -> DataFrame:
     """links(a long, b long) to (node, root): the smallest node reachable from each node that has a link to another."""
     edges = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = written(edges.mapInArrow(_forest, "a long, b long"), "links")  # a > b from here on
+    if edges.count() <= FOREST_NODES // 2:  # one forest holds what is left: its trees are the components
+        return _named(written(edges.coalesce(1).mapInArrow(_forest, "a long, b long"), "links"))
     known = None
     while True:
         # large star: every larger neighbour of a node goes to the smallest of the node and its neighbours
@@ -80,5 +82,9 @@ def connected(links: DataFrame) -> DataFrame:
         edges = written(small.union(low.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct(), "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         if state == known or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", F.col("b").alias("root")).distinct())
+            return _named(edges)
         known = state
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", F.col("b").alias("root")).distinct())

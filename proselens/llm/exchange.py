@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Keys for each shuffle partition, which evens partitions out and bounds what a task holds at once.
-KEYS_PER_PARTITION = 4
+#: Keys for each shuffle partition: more would even partitions out, at a block for each key and slice of input.
+KEYS_PER_PARTITION = 1
 
 BLOCK = "key int, kind int, payload binary"
 

@@ -12,7 +12,8 @@ start. Two classes link when 100 * intersection >= 80 * union, in whole numbers.
    estimated cost: posting entries read, and candidates (entries divided by l) times the cost of one
    verification. Classes with l and l' need min(l, l') shared prefix hashes.
 3. Stars. For each prefix hash the class with the largest share of common hashes is a pivot; a class is
-   verified against its pivots and linked. A group of g near copies so costs about g verifications.
+   verified against its pivots and linked; further turns take other pivots for what is not connected yet.
+   A group of g near copies so costs about g verifications a turn.
 4. The rest. What stars leave, pairs that share enough prefix hashes and are not connected yet, is
    enumerated and verified in full. Pairs already connected need no link of their own, as the result
    is connected components.
@@ -43,8 +44,11 @@ PERCENT = 80
 LONGEST = 6
 VERIFY_COST = 0.05
 
-#: Rounds of stars before the rest is enumerated.
-STAR_ROUNDS = 3
+#: Rounds of stars at most before the rest is enumerated; they end earlier once a round links nothing new.
+STAR_ROUNDS = 4
+
+#: Pivots of a prefix hash: one at first, this many in later rounds.
+PIVOTS = 12
 
 _PAIR, _SIZE = 0, 1
 
@@ -191,15 +195,18 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """(node, root) of the classes that link with another: the components of classes."""
     family = families(docs, words, percent)
     postings = written(family.select("class", "n", "l", "shared", F.explode("prefix").alias("h")), "postings")
-    # sizes that can link: 100 * min(n, m) >= percent * max(n, m)
-    fit = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    # what can link: sizes, and the hashes that each shares with any other class
+    fit = f"100 * least(n, m) >= {percent} * greatest(n, m) AND {100 + percent} * least(round(n * shared), round(m * common)) >= {percent} * (n + m)"
     roots = None
     links = tried = None
-    for _ in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS):
         now = postings if roots is None else postings.join(roots, F.col("class") == F.col("node"), "left").select(*postings.columns, F.coalesce("root", "class").alias("root"))
         now = now if roots is not None else now.withColumn("root", F.col("class"))
-        lists = now.groupBy("h").agg(F.max(F.struct("shared", "class", "n", "l", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        stars = now.join(lists, "h").filter("root <> p.root").select("class", "n", "l", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.l").alias("k")).filter(fit)
+        # first the class that shares most; then the one that does in each of some parts of the list, cut anew each turn
+        part = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(PIVOTS if turn else 1))
+        lists = now.groupBy("h", part.alias("part")).agg(F.max(F.struct("shared", "class", "n", "l", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
+        lists = lists.groupBy("h").agg(F.collect_list("p").alias("pivots"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h", F.explode("pivots").alias("p"))
+        stars = now.join(lists, "h").filter("root <> p.root").select("class", "n", "l", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"), F.col("p.l").alias("k"), "shared", F.col("p.shared").alias("common")).filter(fit)
         stars = stars.groupBy("class", "pivot").agg(F.count("*").alias("c"), F.first("l").alias("l"), F.first("k").alias("k")).filter("c >= least(l, k)")
         stars = stars.select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
         if tried is not None:
@@ -209,6 +216,8 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             break
         tried = stars if tried is None else tried.union(stars)
         found = written(_verified(stars, family, percent), "found")
+        if links is not None and found.isEmpty():
+            break
         links = found if links is None else links.union(found)
         roots = written(connected(links), "roots")
     now = postings.withColumn("root", F.col("class"))
@@ -216,7 +225,7 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         now = postings.join(roots, F.col("class") == F.col("node"), "left").select(*postings.columns, F.coalesce("root", "class").alias("root"))
     mixed = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
     now = written(now.join(mixed, "h", "left_semi"), "rest")
-    other = now.select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("other"))
+    other = now.select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("other"), F.col("shared").alias("common"))
     rest = now.join(other, "h").filter("root <> other AND class > b").filter(fit)
     rest = rest.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("c"), F.first("l").alias("l"), F.first("k").alias("k")).filter("c >= least(l, k)").select("a", "b")
     if tried is not None:
