@@ -725,7 +725,7 @@ def char_wb_counts(spark, d):
 
 @_add()
 def gate_train_score(spark, d):
-    rows = _docs(spark, d).join(_labelled(spark, d), "doc_id").select("doc_id", F.left("text", F.lit(20000)).alias("text"), F.when(F.col("toxic") == 1, F.array(F.lit("P3"))).otherwise(F.array().cast("array<string>")).alias("labels"))
+    rows = _docs(spark, d).join(_labelled(spark, d), "doc_id").select("doc_id", "text", F.when(F.col("toxic") == 1, F.array(F.lit("P3"))).otherwise(F.array().cast("array<string>")).alias("labels"))
     fitted = model.fit(rows, ["P3", "P6"])
     return fitted.score(rows).select("doc_id", F.round("gate", 6).alias("gate"), ranking.top_rules(["P3", "P6"], F.col("probs"), 1).alias("ranked"))
 
