@@ -36,19 +36,19 @@ _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
 
-def _lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines that are not blank, without outer whitespace: starts, ends, numbers of words, where each text's lines begin; and the lines' full ends."""
+def _lines(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines that are not blank, without outer whitespace: starts, ends, numbers of words, and where each text's lines begin."""
     begin, end, _ = texts.spans(_NEWLINE)
     word, stop, _ = texts.spans(SPACES)
     first, last = np.searchsorted(word, begin), np.searchsorted(word, end)
     some = last > first
     starts, ends = word[first[some]], stop[last[some] - 1]
-    return starts, ends, (last - first)[some], np.searchsorted(starts, texts.offsets), end[some]
+    return starts, ends, (last - first)[some], np.searchsorted(starts, texts.offsets)
 
 
 def _windows(texts: Texts, min_words: int) -> tuple[np.ndarray, ...]:
     """Text, first line and last line of every window (numbers within the text), its fingerprint and its hash."""
-    starts, ends, words, bounds, _ = _lines(texts)
+    starts, ends, words, bounds = _lines(texts)
     n = starts.size
     h = texts.hashes(starts, ends)
     total = np.concatenate(([0], np.cumsum(words)))
@@ -98,22 +98,14 @@ def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             columns = list(batch.columns)
-            texts = Texts(columns[at])
-            starts, _, _, bounds, full = _lines(texts)
+            bounds = _lines(Texts(columns[at]))[3]
             values, which = columns[at].to_pylist(), columns[lines_at].to_pylist()
-            for i, lines in enumerate(which):
-                if not lines:
-                    continue
-                raw, base = values[i].encode(), int(texts.offsets[i])
-                own = (full[bounds[i] : bounds[i + 1]] - base).tolist()
-                out, kept = [], 0
-                for k in lines:
-                    begin = raw.rfind(b"\n", 0, int(starts[bounds[i] + k]) - base) + 1
-                    out.append(raw[kept:begin])
-                    kept = min(own[k] + 1, len(raw))
-                out.append(raw[kept:])
-                joined = b"".join(out)
-                values[i] = (joined[:-1] if kept == len(raw) and joined.endswith(b"\n") else joined).decode("utf-8")
+            for i, numbers in enumerate(which):
+                if numbers:
+                    lines, gone = values[i].encode().split(b"\n"), set(numbers)
+                    counted = (k for k, line in enumerate(lines) if line.strip(b" \t\n\x0b\x0c\r"))
+                    drop = {k for n, k in enumerate(counted) if n in gone}
+                    values[i] = b"\n".join(line for k, line in enumerate(lines) if k not in drop).decode("utf-8")
             columns[at] = pa.array(values, columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds), pa.int64())], names=[*names, "__n_lines"])
 
@@ -139,3 +131,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = _with_cuts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), MIN_WORDS)
     removed = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
     return cut.select("doc_id", F.col("__n_lines").alias("n_lines"), F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM d),
+l AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM a WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM l),
+e AS (SELECT x.doc_id, x.i, min(y.i) AS j FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + {MIN_WORDS - 1} AND y.total - x.total + x.n >= {MIN_WORDS} GROUP BY x.doc_id, x.i),
+w AS (SELECT e.doc_id, e.i, e.j, string_agg(c.line, chr(10) ORDER BY c.i) AS content FROM e JOIN c ON c.doc_id = e.doc_id AND c.i BETWEEN e.i AND e.j GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS place FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM r WHERE place > 1),
+kept AS (SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.k) AS text FROM a LEFT JOIN l USING (doc_id, k) LEFT JOIN g ON g.doc_id = a.doc_id AND g.i = l.i WHERE g.i IS NULL GROUP BY a.doc_id)
+SELECT d.doc_id, coalesce(x.n, 0)::BIGINT AS n_lines, coalesce(y.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) x USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) y USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
     "op6_secrets": secrets.ORACLE,
 }
