@@ -18,6 +18,8 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op3_hnsw": hnsw.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_secrets": secrets.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
 }
