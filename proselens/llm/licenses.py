@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselens.llm.shared import written
+
 WORDS = 5
 PERCENT = 80
 MISS = 0.001
@@ -92,7 +94,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, percent: i
     # as parts of the text; one that holds another is not asked for
     least = sorted(a for a in anchors if not any(b != a and b in a for b in anchors))
     some = docs.filter(reduce(lambda x, y: x | y, [F.contains(F.lower("text"), F.lit(a)) for a in least])).select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "").alias("words"))
-    some = some.repartition("text_hash", "doc_id")  # few texts, long ones among them
+    some = written(some.repartition("text_hash", "doc_id"), "license-words")  # few texts, long ones among them; read once a shape
     out = None
     for shape in sorted({(p.window, p.stride, p.k) for p in plans.values()}):
         window, stride, k = shape
