@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of whole lines, from some line on, of min_words words or more; where it
-ends depends on its own text alone. The smallest line hash of a window is its fingerprint, so two
-equal windows always select the same one: a repeated run of min_words words or more shares a
-fingerprint, guaranteed. Positions are joined on fingerprint and window; every position but the first
-in (doc_id, text, line) order is a match, extended to the whole lines of its window on both sides of
-the fingerprint; overlapping and adjoining matches of a document are one run, and runs are deleted.
+A window is the shortest run of whole lines, from some line on or up to some line, of min_words words
+or more; where it ends or begins depends on its own text alone. The smallest line hash of a window is
+its fingerprint, so two equal windows always select the same one: a repeated run of min_words words or
+more shares a fingerprint, guaranteed. Positions are joined on fingerprint and window; every position
+but the first in (doc_id, text, line) order is a match; overlapping and adjoining matches of a document
+are one run, and runs are deleted. Any longer repeated run is the union of the windows that begin at
+its lines and the one that ends at its last line, so it goes whole, whichever earlier place it repeats.
 The first occurrence of any line is never in a deleted window, so no line loses its last copy.
 
 Lines are compared without outer whitespace, letter case kept; blank lines do not count.
@@ -55,7 +56,15 @@ def _windows(texts: Texts, min_words: int) -> tuple[np.ndarray, ...]:
     last = np.searchsorted(total, total[:-1] + min_words) - 1  # the line with which the window is full
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
     at = np.flatnonzero(last < bounds[1:][text]) if n else np.zeros(0, np.int64)
-    last, fp = last[at], h[at]
+    last = last[at]
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # the line from which the window up to a line is full
+    to = np.flatnonzero((total[1:] >= min_words) & (start >= bounds[:-1][text])) if n else np.zeros(0, np.int64)
+    start = start[to]
+    both = np.zeros(n, np.int64) - 1
+    both[at] = last
+    own = both[start] != to  # the others are windows from their first line on, too
+    at, last = np.concatenate((at, start[own])), np.concatenate((last, to[own]))
+    fp = h[at]
     for d in range(1, int((last - at).max(initial=0)) + 1):
         more = at + d <= last
         fp[more] = np.minimum(fp[more], h[at[more] + d])

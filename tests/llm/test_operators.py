@@ -124,6 +124,29 @@ def test_windows_against_brute_force(spark):
         assert (kept.get(k) == "\n".join(left)) if left or not lines else k not in kept
 
 
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(4)
+    head, x, y = prose(25), prose(8), prose(8)
+    rows = [(1, "\n".join((head, x, y))), (2, "\n".join((prose(9), head, x, y, prose(9)))), (3, "\n".join((head, prose(5), x, y))), (4, "\n".join((head, prose(5), x)))]
+    found = {r.doc_id: r.lines for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {2: [1, 2, 3], 3: [0], 4: [0]}
+    pool = [" ".join(f"v{rng.randrange(50)}" for _ in range(rng.randrange(1, 14))) for _ in range(5)]
+    rows = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for k in range(80)]
+    seen, want = set(), {}
+    for k, text in rows:
+        lines, gone = [x for x in text.split("\n") if x], set()
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                run = tuple(lines[i : j + 1])
+                if sum(len(x.split()) for x in run) >= 20:
+                    if run in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(run)
+        want[k] = gone
+    found = {r.doc_id: set(r.lines) for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: v for k, v in want.items() if v}
+
+
 def test_jaccard(docs, empty):
     sets = []
     for _, text in ROWS:
