@@ -293,6 +293,30 @@ def test_passages(docs, empty):
     assert passages.passages(empty).count() == 0
 
 
+def test_chains_below_percent_are_split(spark):
+    rows = []
+    for k, gap in enumerate((60, 0, 150, 300)):
+        one, two = prose(100 if gap < 100 else 200), prose(100 if gap < 100 else 200)
+        rows += [(10 * k, f"{prose(20)} {one} {prose(gap)} {two}"), (10 * k + 1, f"{one} {prose(60 if gap == 0 else gap)} {two} {prose(20)}")]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for k, n in enumerate((100, 100, 200, 200)):
+        spans = [r.end_word - r.start_word for r in found if (r.doc_id, r.source_id) == (10 * k + 1, 10 * k)]
+        assert len(spans) == 2 and all(n - 3 <= s <= n + 8 for s in spans)
+
+
+def test_common_words_of_gaps_of_any_size():
+    rng = random.Random(3)
+    for n, m in ((0, 4), (7, 0), (9, 12), (60, 40), (400, 300)):
+        a, b = [rng.randrange(6) for _ in range(n)], [rng.randrange(6) for _ in range(m)]
+        row = [0] * (m + 1)
+        for w in a:
+            last = 0
+            for j, v in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
+        assert passages._in_common(a, b) == row[-1]
+    assert passages._in_common(list(range(500)), list(range(500))) == 500
+
+
 def test_chains_equal_the_best_by_brute_force():
     rng = random.Random(2)
     for _ in range(50):
