@@ -304,6 +304,17 @@ def test_chains_below_percent_are_split(spark):
         assert len(spans) == 2 and all(n - 3 <= s <= n + 8 for s in spans)
 
 
+def test_passages_whose_lines_stand_elsewhere_first(spark):
+    rows, want = [], set()
+    for k in range(0, 2000, 100):
+        lines = [prose(15) for _ in range(4)]
+        rows += [(k + i, f"{prose(20)} {line} {prose(20)}") for i, line in enumerate(lines)]
+        rows += [(k + i, f"{prose(30)} {' '.join(lines)} {prose(30)}") for i in (8, 9)]
+        want.add((k + 9, k + 8))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id) for r in found if r.end_word - r.start_word >= 60} == want
+
+
 def test_common_words_of_gaps_of_any_size():
     rng = random.Random(3)
     for n, m in ((0, 4), (7, 0), (9, 12), (60, 40), (400, 300)):
