@@ -22,9 +22,21 @@ def place(line: Column, col: Column, end_line: Column, end_col: Column) -> Colum
     return F.when((line == end_line) & (col == end_col), start).otherwise(F.concat(start, F.lit("-"), F.concat_ws(":", end_line, end_col)))
 
 
+def hundredths(score: Column) -> Column:
+    """The score's exact binary value to two places, ties to even, as the surveyed tool writes it; format_string alone rounds
+    the shortest decimal, ties up. The products of both halves of the score are exact."""
+    high = F.floor(score * (1 << 26)) / F.lit(float(1 << 26))
+    near = F.rint(score * 100)
+    beyond = lambda half: (high * 100 - near - half) + (score - high) * 100
+    odd = near % 2 != 0
+    up = (beyond(0.5) > 0) | ((beyond(0.5) == 0) & odd)
+    down = (beyond(-0.5) < 0) | ((beyond(-0.5) == 0) & odd)
+    return F.format_string("%.2f", (near + F.when(up, 1).when(down, -1).otherwise(0)) / 100)
+
+
 def tag(rule: Column, source: Column, score: Column) -> Column:
     """Code, flag, or the score."""
-    return F.when(rule == "C2", "code").when(source == "heuristic", "flag").otherwise(F.format_string("%.2f", score))
+    return F.when(rule == "C2", "code").when(source == "heuristic", "flag").otherwise(hundredths(score))
 
 
 def headline(text: Column, width: int = 64) -> Column:

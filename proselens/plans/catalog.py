@@ -718,7 +718,7 @@ def ngram_counts(spark, d):
 
 @_add("SELECT gram, count(*) AS n FROM (SELECT w, substring(w, i::INTEGER, 3) AS gram FROM (SELECT w, unnest(range(1, length(w) - 1)) AS i FROM (SELECT ' ' || unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) || ' ' AS w FROM documents WHERE doc_id % 4 = 0))) GROUP BY gram")
 def char_wb_counts(spark, d):
-    words = _docs(spark, d).filter("doc_id % 4 = 0").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("w"))
+    words = _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("w"))
     padded = words.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
     return padded.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
@@ -735,7 +735,7 @@ def gate_train_score(spark, d):
 
 @_add(f"WITH {_FOUND} SELECT doc_id, CASE WHEN rule = 'C2' THEN 'code' WHEN origin = 'heuristic' THEN 'flag' ELSE printf('%.2f', score) END AS tag, concat(line, ':', col, CASE WHEN line % 2 = 0 THEN '' ELSE concat('-', line + 1, ':', col) END) AS place FROM f WHERE (score * 1000)::BIGINT % 10 <> 5")
 def report_fields(spark, d):
-    found = _findings(spark, d).filter("cast(round(score * 1000) AS bigint) % 10 <> 5")
+    found = _findings(spark, d)
     end = F.col("line") + F.col("line") % 2
     return found.select("doc_id", display.tag(F.col("rule"), F.col("source"), F.col("score")).alias("tag"), display.place(F.col("line"), F.col("col"), end, F.col("col")).alias("place"))
 

@@ -88,3 +88,21 @@ def test_second_scan_reads_nothing(spark, tmp_path):
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.oracle_sql()) >= 60
+
+
+def _tables(spark, tmp_path, texts):
+    rows = [(k, text, "en", f"s{k % 3}", len(text)) for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_letter_counts_cover_all_texts(spark, tmp_path):
+    found = catalog.queries()["char_wb_counts"](spark, _tables(spark, tmp_path, ["ab", "ab", "abc", "ab"])).collect()
+    assert {(r.gram, r.n) for r in found} == {(" ab", 4), ("ab ", 3), ("abc", 1), ("bc ", 1)}
+
+
+def test_report_fields_cover_all_findings(spark, tmp_path):
+    texts = ["x" * n for n in range(1, 1001)]
+    found = {r.doc_id: r.tag for r in catalog.queries()["report_fields"](spark, _tables(spark, tmp_path, texts)).collect()}
+    want = lambda k, n: "code" if k % 9 == 0 else "flag" if k % 7 == 0 else f"{n * 37 % 1000 / 1000:.2f}"
+    assert found == {k: want(k, n) for k, n in enumerate(map(len, texts))}
