@@ -162,7 +162,8 @@ _ABBREVIATED = "concat('Mr. A. Smith vs. Dr. b. etc. e.g. this. ', left(text, 20
 
 @_add(f"SELECT doc_id, replace({_protected(_ABBREVIATED)}, chr(1), '|') AS view FROM documents")
 def abbrev_protect(spark, d):
-    return _docs(spark, d).select("doc_id", F.replace(sentences.protect(F.expr(_ABBREVIATED)), F.lit(sentences.PLACEHOLDER), F.lit("|")).alias("view"))
+    whole = _ABBREVIATED.replace("left(text, 200)", "text")  # the SQL has beginnings only
+    return _docs(spark, d).select("doc_id", F.replace(sentences.protect(F.expr(whole)), F.lit(sentences.PLACEHOLDER), F.lit("|")).alias("view"))
 
 
 @_add("SELECT doc_id, len(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), '\\n\\s*\\n', chr(1), 'g'), chr(1)))::INTEGER AS n FROM documents")
@@ -584,7 +585,8 @@ _PAIRS = f"r AS (SELECT doc_id, {_BEFORE} AS b, {_AFTER} AS a FROM documents), m
 
 
 def _mined(spark, d) -> DataFrame:
-    pairs = _docs(spark, d).select("doc_id", F.expr(_BEFORE).alias("before"), F.expr(_AFTER).alias("after"))
+    before, after = _BEFORE.replace("left(text, 300)", "text"), _AFTER.replace("right(text, 200)", "text")  # the SQL has parts only
+    pairs = _docs(spark, d).select("doc_id", F.expr(before).alias("before"), F.expr(after).alias("after"))
     return pairs.withColumn("labels", silver.silver_labels(F.col("before"), F.col("after")))
 
 

@@ -106,3 +106,13 @@ def test_report_fields_cover_all_findings(spark, tmp_path):
     found = {r.doc_id: r.tag for r in catalog.queries()["report_fields"](spark, _tables(spark, tmp_path, texts)).collect()}
     want = lambda k, n: "code" if k % 9 == 0 else "flag" if k % 7 == 0 else f"{n * 37 % 1000 / 1000:.2f}"
     assert found == {k: want(k, n) for k, n in enumerate(map(len, texts))}
+
+
+def test_labels_and_abbreviations_come_from_whole_texts(spark, tmp_path):
+    far = "word " * 100
+    d = _tables(spark, tmp_path, ["one.", f"{far}It cannot be that this is not so. {far}e.g. Mr. Smith."])
+    found = {r.doc_id: r.labels for r in catalog.queries()["silver_labels"](spark, d).collect()}
+    assert "P5" in found[1]
+    view = {r.doc_id: r.view for r in catalog.queries()["abbrev_protect"](spark, d).collect()}
+    assert view[1].endswith("e|g| Mr| Smith.")
+    assert catalog.queries()["revision_histogram"](spark, d).agg(F.sum("n")).first()[0] == 2
