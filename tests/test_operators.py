@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proselens.functions import codepoints, normalize, predicates, sentences
-from proselens.operators import cache, calibrate, ranking, spans
+from proselens.operators import cache, calibrate, model, ranking, spans
 from proselens.plans import catalog
 
 
@@ -116,3 +116,10 @@ def test_labels_and_abbreviations_come_from_whole_texts(spark, tmp_path):
     view = {r.doc_id: r.view for r in catalog.queries()["abbrev_protect"](spark, d).collect()}
     assert view[1].endswith("e|g| Mr| Smith.")
     assert catalog.queries()["revision_histogram"](spark, d).agg(F.sum("n")).first()[0] == 2
+
+
+def test_no_term_is_dropped(spark):
+    words = [f"w{i}" for i in range(270_000)]
+    df = spark.createDataFrame([(words,), (words[::-1],), (["w1", "rare"],)], "words array<string>")
+    branch = model.fit_branch(df, "words", 2)
+    assert len(branch.counter.vocabulary) == len(branch.idf) == 270_000
