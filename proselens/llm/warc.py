@@ -5,7 +5,7 @@ is its reversed-host URL (com,example,blog)/path and page_id. Captures are sorte
 whole corpus; each range partition writes its captures as compressed blocks of BLOCK lines and a sparse
 directory of one line a block: first key, offset, length. A top list of one line a range partition
 names the parts. A look-up finds the part, binary-searches the directory file by seeking, reads one
-block's range, binary-searches it and reads one record's range; batches of look-ups come in key order
+block's range (and those after it while the key goes on), binary-searches it and reads one record's range; batches of look-ups come in key order
 and read each block once.
 
 Of records with equal payloads of REVISIT_BYTES or more, that with the smallest page_id is the response,
@@ -214,7 +214,7 @@ class CaptureIndex:
         self.fs, self.root = _store(_tidy(folder))
         self.firsts, self.names = [k for k, _ in top], [n for _, n in top]
         self.open: dict[str, object] = {}
-        self.block: tuple[tuple, list[str], list[list[str]]] | None = None
+        self.block: tuple[tuple[str, int, int], list[str], list[list[str]]] | None = None
 
     def _file(self, name: str):
         if name not in self.open:
@@ -240,37 +240,49 @@ class CaptureIndex:
             if not more:
                 return size, b""
 
-    def find_block(self, name: str, key: str) -> tuple[int, int] | None:
-        """The block that holds a key, if any does: a binary search in the sorted directory file."""
+    def find_block(self, name: str, key: str) -> int | None:
+        """Where the directory's line of the last block that begins before a key stands (of the first, if none does): a binary
+        search in the sorted file. Captures with the key begin in that block or the next."""
         file = f"index/{name}.directory"
         size = self._file(file).size()
-        low, high, best = 0, size, None
+        low, high, best = 0, size, 0
         while low < high:
             middle = (low + high) // 2
             at, line = self._line(file, middle, size)
-            if not line or line.split(b"\t", 1)[0].decode() > key:
+            if not line or line.split(b"\t", 1)[0].decode() >= key:
                 high = middle
             else:
-                best, low = line, at + len(line) + 1
-        if best is None:
-            return None
-        _, offset, length = best.decode().rsplit("\t", 2)
-        return int(offset), int(length)
+                best, low = at, at + len(line) + 1
+        return best if size else None
+
+    def _load(self, name: str, at: int) -> None:
+        """Reads the block whose directory line stands at an offset, unless it is the one held."""
+        if self.block and self.block[0][:2] == (name, at):
+            return
+        file = f"index/{name}.directory"
+        at, line = self._line(file, at, self._file(file).size())
+        _, offset, length = line.decode().rsplit("\t", 2)
+        lines = [x.split("\t") for x in gzip.decompress(self.read(f"index/{name}.blocks", int(offset), int(length))).decode().split("\n")]
+        self.block = ((name, at, at + len(line) + 1), [x[0] for x in lines], lines)
 
     def find(self, key: str) -> list[tuple[str, int, int]]:
-        """Archive, offset and length of every capture with the key."""
-        part = bisect_right(self.firsts, key) - 1
-        if part < 0:
-            return []
-        name = self.names[part]
-        if not (self.block and self.block[0][0] == name and self.block[1][0] <= key <= self.block[1][-1]):
-            place = self.find_block(name, key)
-            if place is None:
-                return []
-            lines = [x.split("\t") for x in gzip.decompress(self.read(f"index/{name}.blocks", *place)).decode().split("\n")]
-            self.block = ((name, *place), [x[0] for x in lines], lines)
-        keys, lines = self.block[1], self.block[2]
-        return [(x[1], int(x[2]), int(x[3])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
+        """Archive, offset and length of every capture with the key, over blocks and parts that share it."""
+        part = max(bisect_left(self.firsts, key) - 1, 0)
+        out: list[tuple[str, int, int]] = []
+        while part < len(self.firsts) and self.firsts[part] <= key:
+            name = self.names[part]
+            size = self._file(f"index/{name}.directory").size()
+            held = self.block and self.block[0][0] == name and self.block[1][0] < key <= self.block[1][-1]
+            at = self.block[0][1] if held else self.find_block(name, key)
+            while at is not None and at < size:
+                self._load(name, at)
+                keys, lines = self.block[1], self.block[2]
+                out += [(x[1], int(x[2]), int(x[3])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
+                if keys[-1] > key:
+                    return out
+                at = self.block[0][2]
+            part += 1
+        return out
 
     def record(self, part: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
         return parse(self.read(f"archives/{part}", offset, length))

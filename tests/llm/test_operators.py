@@ -413,3 +413,16 @@ def test_warc(spark, tmp_path):
     assert len(index.find(warc.capture_key("http://h3.example/3", 103))) == 1
     assert warc.surt("https://www.Blog.example.com:8080/A?B=c") == "com,example,blog:8080)/a?b=c"
     assert warc.write_archives(pages.filter("false"), str(tmp_path / "none")) == []
+
+
+def test_captures_of_one_key_over_several_blocks(spark, tmp_path):
+    rows = [(None, "http://many.example/", f"page {k}") for k in range(1300)] + [(k, f"http://{'a' if k % 2 else 'z'}.example/{k}", "x") for k in range(1205)]
+    rows += [(50_000 + k // 3, f"http://n.example/{k // 3:05}", f"copy {k}") for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    top = warc.write_archives(pages, str(tmp_path))
+    found = warc.look_up(pages, str(tmp_path), top).collect()
+    assert Counter((r.page_id, r.url) for r in found) == Counter((i, u) for i, u, _ in rows)
+    assert sorted(bytes(r.payload).decode() for r in found if r.page_id is None) == sorted(f"page {k}" for k in range(1300))
+    index = warc.CaptureIndex(str(tmp_path), top)
+    assert len(index.find(warc.capture_key("http://many.example/", None))) == 1300
+    assert index.find(warc.capture_key("http://many.example/0", 5)) == [] == index.find("zzzz") == index.find("")
