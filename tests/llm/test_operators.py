@@ -426,3 +426,9 @@ def test_captures_of_one_key_over_several_blocks(spark, tmp_path):
     index = warc.CaptureIndex(str(tmp_path), top)
     assert len(index.find(warc.capture_key("http://many.example/", None))) == 1300
     assert index.find(warc.capture_key("http://many.example/0", 5)) == [] == index.find("zzzz") == index.find("")
+
+
+def test_creative_commons_and_later_parts_of_licenses(spark):
+    rows = [(1, f"{prose(9)}\nLicensed under CC BY-NC 4.0.\n{prose(9)}"), (2, "Licensed under CC BY-NC-SA 4.0."), (3, licenses.TEMPLATES["bsd-3-clause"]), (4, prose(30) + " licensed")]
+    found = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: "cc-by-nc-notice", 2: "cc-by-nc-sa-notice", 3: "bsd-3-clause", 4: ""}
