@@ -12,13 +12,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Keys for each shuffle partition: more would even partitions out, at a block for each key and slice of input.
-KEYS_PER_PARTITION = 1
+#: Bytes of numbers that a key stands for, about. A task holds the blocks of one key at a time.
+KEY_BYTES = 64 << 20
+
+#: Bytes of numbers for a byte of input, about: 16 for each word of compressed text, or less.
+NUMBERS = 4
 
 BLOCK = "key int, kind int, payload binary"
 
 
+def key_count(df: DataFrame, partitions: int) -> int:
+    """How many keys to deal the hashes of df's texts by: a multiple of the partitions, by the size that the planner gives for df; one a partition where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return partitions * (-(-size * NUMBERS // (partitions * KEY_BYTES)) or 1 if size < 1 << 60 else 1)
+
+
 def range_of(h: np.ndarray, keys: int) -> np.ndarray:
     """Which of so many equal ranges of 64-bit hashes each is in."""
     return ((h >> np.uint64(32)) * np.uint64(keys) >> np.uint64(32)).astype(np.int32)
@@ -51,8 +61,8 @@ def block_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def dealt(df: DataFrame, partitions: int) -> DataFrame:
-    """Blocks by key, each key's blocks together in one partition."""
-    return df.repartition(partitions, "key").sortWithinPartitions("key", "kind")
+    """Blocks by key, each key's blocks together in one partition; the keys from 0 on go round the partitions, so that all get equally many."""
+    return df.repartitionById(partitions, F.pmod("key", F.lit(partitions))).sortWithinPartitions("key", "kind")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[int, dict[int, list[bytes]]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

@@ -14,9 +14,13 @@ start. Two classes link when 100 * intersection >= 80 * union, in whole numbers.
 3. Stars. For each prefix hash the class with the largest share of common hashes is a pivot; a class is
    verified against its pivots and linked; further turns take other pivots for what is not connected yet.
    A group of g near copies so costs about g verifications a turn.
-4. The rest. What stars leave, pairs that share enough prefix hashes and are not connected yet, is
-   enumerated and verified in full. Pairs already connected need no link of their own, as the result
-   is connected components.
+4. The rest. What stars leave are pairs that share enough prefix hashes and are not connected yet. In lists of up
+   to SHORT classes they are tried one by one. The classes of longer lists are compared with the list's pivot, and joined on what
+   they differ in from it: near copies of one text share nearly all their hashes, but few differences, and two that link
+   must have most differences of the smaller in common, so a prefix of very few differences finds them. Lists of
+   differences that are still long are taken apart in the same way by pivots of their own, DEPTH times at most; then their
+   pairs are tried. No pair is dropped. Pairs already connected need no link of their own, as the result is
+   connected components.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; a text of 1 to
 4 words is one shingle of all its words; repeated rows are equal sets; a null doc_id is kept and names
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.llm.components import connected
-from proselens.llm.exchange import BLOCK, KEYS_PER_PARTITION, block_batch, blocks, by_key, dealt, opened, range_of
+from proselens.llm.exchange import BLOCK, block_batch, blocks, by_key, dealt, key_count, opened, range_of
 from proselens.llm.shared import shuffle_partitions, text_batches, written
 from proselens.llm.textkit import SPACES, Texts, mix, shingles, slices
 
@@ -50,6 +54,10 @@ STAR_ROUNDS = 4
 #: Pivots of a prefix hash: one at first, this many in later rounds.
 PIVOTS = 12
 
+#: Members up to which the pairs of a list are tried one by one, and how often longer lists are taken apart by differences from a pivot.
+SHORT = 32
+DEPTH = 4
+
 _PAIR, _SIZE = 0, 1
 
 
@@ -177,7 +185,7 @@ def _families(percent: int):
 def families(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The classes that can have a partner: size, common hashes, chosen l and prefix."""
     partitions = shuffle_partitions(docs.sparkSession)
-    keys = KEYS_PER_PARTITION * partitions
+    keys = key_count(docs, partitions)
     pairs = docs.select("text").mapInArrow(_emit(words, keys), BLOCK)
     common = dealt(pairs, partitions).mapInArrow(_common(keys), BLOCK)
     return written(dealt(common, partitions).mapInArrow(_families(percent), _FAMILY), "families")
@@ -220,20 +228,83 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
             break
         links = found if links is None else links.union(found)
         roots = written(connected(links), "roots")
-    now = postings.withColumn("root", F.col("class"))
-    if roots is not None:
-        now = postings.join(roots, F.col("class") == F.col("node"), "left").select(*postings.columns, F.coalesce("root", "class").alias("root"))
-    mixed = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    now = written(now.join(mixed, "h", "left_semi"), "rest")
-    other = now.select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("other"), F.col("shared").alias("common"))
-    rest = now.join(other, "h").filter("root <> other AND class > b").filter(fit)
-    rest = rest.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("c"), F.first("l").alias("l"), F.first("k").alias("k")).filter("c >= least(l, k)").select("a", "b")
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    found = written(_verified(rest, family, percent), "found")
-    if links is not None and found.isEmpty():
-        return roots
-    return connected(found if links is None else links.union(found))
+    left = _rest(family, postings, links, roots, tried, percent, fit)
+    if links is None:
+        return connected(left)
+    return roots if left.isEmpty() else connected(links.union(left))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with the root of their class, the class itself where it has no link yet."""
+    if roots is None:
+        return rows.withColumn("root", F.col("class"))
+    return rows.join(roots, F.col("class") == F.col("node"), "left").select(*rows.columns, F.coalesce("root", "class").alias("root"))
+
+
+def _rest(family: DataFrame, postings: DataFrame, links: DataFrame | None, roots: DataFrame | None, tried: DataFrame | None, percent: int, fit: str) -> DataFrame:
+    """The links that stars have not connected. A pair that shares a long list is found by the differences of both from the
+    list's pivot; any other shares enough hashes in short lists."""
+    lists = _rooted(postings, roots)
+    mixed = lists.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many"), F.max(F.struct("shared", "class")).getField("class").alias("pivot"))
+    lists = written(lists.join(mixed.filter("low < high").select("h", "many", "pivot"), "h"), "rest")
+    short = lists.filter(F.col("many") <= SHORT)
+    other = short.select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("other"), F.col("shared").alias("common"))
+    pairs = short.join(other, "h").filter("root <> other AND class > b").filter(fit)
+    pairs = pairs.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("c"), F.first("l").alias("l"), F.first("k").alias("k")).filter("c >= least(l, k)").select("a", "b")
+    todo = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    found = written(_verified(todo, family, percent), "found")
+    members = lists.filter(F.col("many") > SHORT).select("pivot", "class").distinct()
+    for depth in range(DEPTH + 1):
+        members = written(members, "members")
+        if members.isEmpty():
+            break
+        near, keys = _differences(members, family, percent)
+        found = found.union(near)
+        every = found if links is None else links.union(found)
+        keys = written(_rooted(keys, written(connected(every), "roots")), "differences")
+        heavy = keys.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count_if("small").alias("smalls"), F.count_if("large").alias("larges"), F.max(F.struct("n", "class")).getField("class").alias("next"))
+        work = F.col("smalls") * F.col("larges") > SHORT * (F.col("smalls") + F.col("larges"))
+        keys = written(keys.join(heavy.filter("low < high").select("h", "next", (work if depth < DEPTH else F.lit(False)).alias("heavy")), "h"), "lists")
+        one = keys.filter("small AND NOT heavy").select("h", "class", "n", "d", "c", "root")
+        two = keys.filter("large AND NOT heavy").select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.col("d").alias("e"), F.col("c").alias("f"), F.col("root").alias("other"))
+        # dist = d + e - 2 * (differences in common), of which the smaller has c
+        reach = f"{100 + percent} * (d + e - 2 * c) <= {100 - percent} * (n + m) AND {100 + percent} * abs(d - e) <= {100 - percent} * (n + m)"
+        pairs = one.join(two, "h").filter(f"root <> other AND (c < f OR (c = f AND class < b)) AND {reach}")
+        pairs = pairs.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
+        found = written(found.union(_verified(pairs, family, percent)), "found")
+        members = keys.filter("heavy").select(F.col("next").alias("pivot"), "class").distinct()
+    return found
+
+
+def _differences(members: DataFrame, family: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members(pivot, class) to their links with pivots, and to rows (h, class, n, d, c, small, large): the prefixes of their
+    differences from the pivot. A class differs from its pivot in d hashes, c of which others of the pivot's members
+    differ in, too; h names the pivot and one of these, and small or large tells whether it is in the prefix for pairs in which the
+    class has fewer such differences than the other, or more.
+
+    Two classes differ in d + e - 2s hashes, where s of their differences are the same, and link when that is
+    at most (100 - percent) / (100 + percent) of n + m. If s may be 0 then both link with the pivot. Else the rarest
+    c - s + 1 differences of either hold a common one. s is at least d less that share, and for the smaller
+    half of d + c less that share; where the class links with the pivot, the other does not and has more differences."""
+    share = (100 - percent) / (100 + percent)
+    one = family.select("class", "n", "hashes")
+    two = family.select(F.col("class").alias("pivot"), F.col("n").alias("p"), F.col("hashes").alias("center"))
+    apart = F.array_union(F.array_except("hashes", "center"), F.array_except("center", "hashes"))
+    rows = members.join(one, "class").join(two, "pivot").select("pivot", "class", "n", "p", (F.col("n") + F.col("p") - 2 * F.size(F.array_intersect("hashes", "center"))).alias("d"), apart.alias("apart"))
+    rows = written(rows, "apart")
+    linked = F.col("d") * (100 + percent) <= (F.col("n") + F.col("p")) * (100 - percent)
+    near = rows.filter(linked).filter("class <> pivot").select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b"))
+    parts = rows.select("pivot", "class", F.explode("apart").alias("x"))
+    often = parts.groupBy("pivot", "x").agg(F.count("*").alias("often")).filter("often > 1")
+    widest = rows.groupBy("pivot").agg(F.max("n").alias("widest"))
+    kept = parts.join(often, ["pivot", "x"]).groupBy("pivot", "class").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
+    rows = rows.drop("apart").join(kept, ["pivot", "class"]).join(widest, "pivot").withColumn("c", F.size("xs"))
+    most = share * (F.col("n") + F.least(F.col("n") * (100.0 / percent), F.col("widest").cast("double")))
+    least = F.greatest(F.lit(1.0), F.col("d") - most, F.when(linked, (F.col("d") + share * (F.col("p") - F.col("n"))) / 2).otherwise(F.lit(1.0)))
+    whole = lambda x: F.ceil(x - 1e-9).cast("int")
+    rows = rows.withColumn("ifsmall", F.col("c") - whole(F.greatest(least, (F.col("d") + F.col("c") - most) / 2)) + 1).withColumn("iflarge", F.col("c") - whole(least) + 1)
+    keys = rows.filter("greatest(ifsmall, iflarge) > 0").select("pivot", "class", "n", "d", "c", "ifsmall", "iflarge", F.posexplode(F.slice("xs", F.lit(1), F.greatest("ifsmall", "iflarge"))).alias("at", "x"))
+    return near, keys.select(F.xxhash64("pivot", "x.x").alias("h"), "class", "n", "d", "c", (F.col("at") < F.col("ifsmall")).alias("small"), (F.col("at") < F.col("iflarge")).alias("large"))
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:

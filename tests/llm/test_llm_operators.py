@@ -185,6 +185,34 @@ def test_jaccard_chain(spark):
     assert set(found.values()) == {0}
 
 
+@pytest.mark.parametrize(("rounds", "depth"), [(0, 4), (0, 0), (1, 1)])
+def test_jaccard_of_long_lists_by_differences(spark, monkeypatch, rounds, depth):
+    """Near copies of one text that mostly do not link, where lists of over two classes are long."""
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "SHORT", 2)
+    monkeypatch.setattr(jaccard_join, "DEPTH", depth)
+    rng = random.Random(rounds + depth)
+    base, rows = prose(90).split(), []
+    for i in range(120):
+        own = list(base)
+        for at in rng.sample(range(0, 90, 6), rng.choice((1, 2, 2, 3))):
+            own[at] = rng.choice(("x", "y", f"z{i}"))
+        if rng.random() < 0.3:
+            del own[: rng.randrange(1, 12)]
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    assert 5 < len(set(root)) < 115
+
+
 def test_prefix_choice():
     assert jaccard_join.choose_prefix(10, np.array([2] * 10), 80)[1] <= 10
     k, held = jaccard_join.choose_prefix(100, np.array([2] * 60 + [5000] * 40), 80)
