@@ -2,20 +2,24 @@
 
 For each rule's regular expression a Boolean query over trigrams is derived that every match must
 satisfy (a conjunction over what follows, a disjunction over alternatives). The index holds postings
-(trigram, doc_id) of the trigrams that some rule's query names, over lower-cased text. Postings are
-intersected by document; a document that satisfies a rule's query is its candidate and is verified by
-the expression itself over the whole text. A rule without mandatory trigrams scans every text.
+(trigram, doc_id) of the trigrams that some rule's query names, over lower-cased text, found in one pass
+over each text. Postings are intersected by document; a document that satisfies a rule's query is its
+candidate and is verified by the expression itself over the whole text. A rule without mandatory
+trigrams scans every text. Candidates go to the texts where their counted number allows that, so that
+texts need no shuffle; beyond it both sides are shuffled by doc_id.
 
 Spans are code points, end exclusive, leftmost and without overlap in each rule; a match that a rule's
-length test drops still consumes its text.
+length test drops still consumes its text. Positions cost time in proportion to text and matches.
 
 Defined results: a null text is empty and has no secrets; rows that repeat a doc_id are verified each on
-its own text; a null doc_id is scanned in full; an empty table gives an empty result.
+its own text; a null doc_id is scanned in full; an empty table gives an empty result; columns of docs
+stay, whatever their names, but one that has the name asked for the result (`found`) is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,20 +33,21 @@ _parse = re._parser.parse
 
 @dataclass(frozen=True)
 class Rule:
-    """least: the characters that group `value` (0: the whole match) must have."""
+    """least: the characters that group `value` (0: the whole match) must have. narrow: an expression with the same matches less those that are too short."""
 
     kind: str
     pattern: str
     value: int = 0
     least: int = 1
     base: bool = False
+    narrow: str = ""
 
 
 #: Fixed values. The first three are the base rules.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
-    Rule("hex", r"[0-9a-f]+", 0, 32, True),
+    Rule("hex", r"[0-9a-f]+", 0, 32, True, r"[0-9a-f]{32,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
@@ -50,6 +55,12 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
 
+#: Candidates up to which they are sent to all texts: 64 bytes each, so 32 MB at most.
+MOST_SENT = 500_000
+
+#: Matches that a step of the walk over positions takes together.
+CHUNK = 1024
+
 #: The most strings that a part of an expression may stand for before its trigrams are taken.
 MOST_STRINGS = 64
 
@@ -143,12 +154,19 @@ def _holds(query: Query, have: Column) -> Column:
     return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), (_holds(q, have) for q in query[1]))
 
 
+def _any_of(wanted: list[str]) -> str:
+    """An expression that finds every occurrence of these trigrams, overlapping ones too, as group 1."""
+    quoted = lambda s: "".join(c if c.isalnum() else f"\\x{ord(c):02x}" if ord(c) < 256 else f"\\x{{{ord(c):x}}}" for c in s)
+    first = {c: [quoted(t[1:]) for t in wanted if t[0] == c] for c in sorted({t[0] for t in wanted})}
+    return f"(?=({'|'.join(f'{quoted(c)}(?:{"|".join(rest)})' for c, rest in first.items())}))"
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The index: (trigram, doc_id) for every trigram that a rule's query names."""
     wanted = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
     low = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    held = F.regexp_extract_all("low", F.lit(_any_of(wanted)), F.lit(1)) if wanted else F.array().cast("array<string>")
+    return low.select("doc_id", F.explode(F.array_distinct(held)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -163,45 +181,51 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
 
-def _positions(text: Column, rule: Rule) -> Column:
-    """array<struct<start, kind_no, end>> of the rule's matches that pass its length test. What lies between
-    matches comes from split, so one walk over both gives every position."""
-    pattern = F.lit(rule.pattern)
-    parts, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, F.lit(rule.value)) if rule.value else found
-    each = F.arrays_zip(F.transform(parts, lambda p: F.length(p)).alias("gap"), F.transform(found, lambda m: F.length(m)).alias("size"), F.transform(values, lambda v: F.length(v)).alias("worth"))
-    # flat: the position reached, then a start and an end for each match kept
-    flat = F.aggregate(
-        F.filter(each, lambda x: x["size"].isNotNull()),
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(
-            F.array(acc[0] + x["gap"] + x["size"]),
-            F.slice(acc, F.lit(2), F.size(acc)),
-            F.when(x["worth"] >= rule.least, F.array(acc[0] + x["gap"], acc[0] + x["gap"] + x["size"])).otherwise(F.array().cast("array<int>")),
-        ),
-    )
-    no = [r.kind for r in RULES].index(rule.kind)
-    each = F.transform(
-        F.sequence(F.lit(0), ((F.size(flat) - 3) / 2).cast("int")),
-        lambda i: F.struct(F.get(flat, 2 * i + 1).alias("start"), F.lit(no).alias("kind"), F.get(flat, 2 * i + 2).alias("end")),
-    )
-    return F.when(F.size(flat) > 1, each).otherwise(_none())
-
-
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with a column found: array<struct<start, kind, end>> by start, then rule."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, as lambdas compute what they name anew for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _positions(text: Column, rule: Rule, no: int) -> Column:
+    """array<struct<start, kind (its number), end>> of the rule's matches that pass its length test. What lies between
+    matches comes from split, so one walk over both gives every position. The walk writes positions as text: a
+    step would copy an array whole, and does copy a text, so the matches are walked in chunks."""
+    pattern = rule.narrow or rule.pattern
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.value)) if rule.value else found
+    gap = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    each = F.arrays_zip(gap.alias("gap"), F.transform(found, lambda m: F.length(m)).alias("size"), F.transform(values, lambda v: F.length(v)).alias("worth"))
+    state = lambda at, done, out: F.struct(at.alias("at"), done.alias("done"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
+        return state(end, acc["done"], F.when(x["worth"] >= rule.least, F.concat(acc["out"], at, F.lit(":"), end, F.lit(","))).otherwise(acc["out"]))
+
+    def walked(x: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: F.slice(x, i * CHUNK + 1, F.lit(CHUNK)))
+        none = F.lit("")
+        whole = F.aggregate(chunks, state(F.lit(0), none, none), lambda acc, chunk: F.aggregate(chunk, state(acc["at"], acc["done"], none), step, lambda s: state(s["at"], F.concat(s["done"], s["out"]), none)))
+        spans = F.filter(F.split(whole["done"], ","), lambda s: s != "")
+        return F.transform(spans, lambda s: F.struct(F.substring_index(s, ":", 1).cast("int").alias("start"), F.lit(no).alias("kind"), F.substring_index(s, ":", -1).cast("int").alias("end")))
+
+    return _let(F.filter(each, lambda x: x["size"].isNotNull()), walked)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "found") -> DataFrame:
+    """docs with a column `into`: array<struct<start, kind, end>> by start, then rule (kind: the rule's number)."""
     index = written(postings(docs, rules), "trigram-postings")
-    some = candidates(index, rules).withColumnRenamed("doc_id", "__id")
+    some = written(candidates(index, rules).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds")), "trigram-candidates")
+    some = F.broadcast(some) if some.count() <= MOST_SENT else some
     joined = docs.join(some, F.col("doc_id") == F.col("__id"), "left")
     text = F.col("text")
     each = []
-    for rule in rules:
-        least = trigram_query(rule.pattern)
-        # the shortest text that passes: a cheap test before the walk
-        first = text.rlike("[0-9a-f]{32}") if rule.kind == "hex" else text.rlike(rule.pattern)
-        maybe = first if least is True else (F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))) & first
-        each.append(F.when(maybe, _positions(text, rule)).otherwise(_none()))
-    return joined.select(*docs.columns, F.sort_array(F.concat(*each)).alias("found"))
+    for no, rule in enumerate(rules):
+        maybe = text.rlike(rule.narrow or rule.pattern)  # a cheap test before the walk
+        if trigram_query(rule.pattern) is not True:
+            maybe = (F.col("doc_id").isNull() | F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False))) & maybe
+        each.append(F.when(maybe, _positions(text, rule, no)).otherwise(_none()))
+    columns = [F.col(c) for c in docs.columns if c.lower() != into.lower()]
+    return joined.select(*columns, F.sort_array(F.concat(*each)).alias(into))
 
 
 def _joined(found: Column) -> Column:

@@ -286,6 +286,23 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_secrets_in_a_text_and_clashing_columns(spark):
+    text = "".join(f"é token={'k' * (7 + i % 3)}{'😀' * (i % 2)} {'0a' * 16} " for i in range(20000))
+    rows = [(1, text, "own", "mine", "t"), (1, text, "own", "mine", "t"), (2, None, None, None, None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, kinds string, Found string, trigram string"))
+    assert got.columns == ["doc_id", "text", "kinds", "trigram", "found"]
+    want = sorted((m.start(), i, m.end()) for i, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, text) if len(m.group(r.value)) >= r.least)
+    found = got.orderBy("doc_id").collect()
+    assert [tuple(x) for x in found[0].found] == [tuple(x) for x in found[1].found] == want and len(want) > 30000 and found[2].found == [] and found[0].kinds == "own"
+
+
+def test_rules_keep_their_matches_where_narrowed():
+    rng = random.Random(1)
+    for r in secrets.RULES:
+        text = " ".join("".join(rng.choice("0af") for _ in range(rng.randrange(1, 80))) + rng.choice(("", "g", "AKIA")) for _ in range(300))
+        assert not r.narrow or [m.span() for m in re.finditer(r.narrow, text)] == [m.span() for m in re.finditer(r.pattern, text) if len(m.group()) >= r.least]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]+") is True
     assert secrets.trigram_query("abcd|xyz") == ("or", (("and", ("abc", "bcd")), "xyz"))
