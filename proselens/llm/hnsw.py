@@ -1,8 +1,8 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs per shard.
 
-Vectors of one label are dealt by hash into shards of about SHARD distinct vectors; equal vectors are one
-member with a multiplicity. A task builds each shard's graph. Then every pair of shards of a label is
-searched once: each vector of either shard queries the other's graph with a beam that, where its worst entry is
+Vectors of one label and length are dealt by hash into shards of about SHARD distinct vectors; equal vectors are
+one member with a multiplicity. A task builds each shard's graph. Then every pair of shards of a label and length is
+searched once, a row and a task of its own for each pair, dealt by label, length and both shards: each vector of either shard queries the other's graph with a beam that, where its worst entry is
 still above the threshold, widens to all it reaches there, and both directions' finds are joined, so a link is found for both
 ends or for none. A sample of each shard's queries is audited against brute force, and the beam is
 doubled until the audit's recall passes. Every link is verified by cosine in double precision; a task
@@ -12,8 +12,8 @@ across tasks.
 All pairs of shards of a label are searched, as each vector queries every shard; work is so n log n in a
 shard and grows with the number of shards of a label.
 
-Defined results: null vectors, zero vectors and vectors with null or non-finite components, rows with a
-null label, and vectors of another length than the label's commonest (the shorter of equals) link with nothing;
+Defined results: null vectors, zero vectors and vectors with null or non-finite components and rows with a
+null label link with nothing; vectors of different length do not link, those of one length do, whatever else their label holds;
 repeated vectors link with each other; repeated vec_ids give a row each and count each other as one more
 vector; an empty table gives an empty result.
 """
@@ -197,11 +197,8 @@ def _audited(graph: Graph, vectors: np.ndarray, queries: np.ndarray, least: floa
     return min(beam, max(1, len(vectors)))
 
 
-_MEMBER = "label long, shard int, head long, copies long, v array<double>"
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one (label, shard) after another to one row with the shard's ids, multiplicities, vectors and graph."""
+    """Rows of one (label, length, shard) after another to one row with the shard's ids, multiplicities, vectors and graph."""
     now, held = None, []
 
     def row() -> pa.RecordBatch:
@@ -210,16 +207,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = Graph(unit / np.linalg.norm(unit, axis=1, keepdims=True))
         blobs = [ids.astype(np.int64), copies.astype(np.int64), unit, graph.order.astype(np.int64), graph.level]
         return pa.RecordBatch.from_arrays(
-            [pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([[b.tobytes() for b in blobs]], pa.list_(pa.binary())), pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary()))],
-            names=["label", "shard", "n", "data", "links"],
+            [pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([now[2]], pa.int32()), pa.array([now[3]], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([[b.tobytes() for b in blobs]], pa.list_(pa.binary())), pa.array([[x.tobytes() for x in graph.links]], pa.list_(pa.binary()))],
+            names=["label", "d", "n_shards", "shard", "n", "data", "links"],
         )
 
     for batch in batches:
-        for label, shard, head, copies, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (label, shard) != now:
+        for *own, head, copies, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tuple(own) != now:
                 if held:
                     yield row()
-                now, held = (label, shard), []
+                now, held = tuple(own), []
             held.append((head, copies, np.array(v)))
     if held:
         yield row()
@@ -280,27 +277,24 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE, shard: int = S
     good = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = written(rows.withColumn("good", good).withColumn("key", F.when(good, F.xxhash64("label", "v"))), "vectors")
     # equal vectors are one member, named by the smallest vec_id
-    usable = rows.filter("good")
-    lengths = usable.groupBy("label", F.size("v").alias("d")).count()
-    common = lengths.groupBy("label").agg(F.max_by("d", F.struct("count", -F.col("d"))).alias("d"))
-    usable = usable.join(common, "label").filter("size(v) = d").drop("d")
-    members = usable.groupBy("label", "key", "v").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
+    members = rows.filter("good").groupBy("label", "key", "v").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"))
     members = written(members, "members")
-    shards = members.groupBy("label").agg(F.ceil(F.count("*") / shard).cast("int").alias("n_shards"))
-    dealt = members.join(shards, "label").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("n_shards")).cast("int")).select("label", "shard", "head", "copies", "v")
-    packed = dealt.repartition(shuffle_partitions(spark), "label", "shard").sortWithinPartitions("label", "shard", "head")
-    packed = written(packed.mapInArrow(_pack, "label long, shard int, n int, data array<binary>, links array<binary>"), "graphs")
-    other = packed.select("label", *[F.col(c).alias(f"{c}2") for c in ("shard", "n", "data", "links")])
-    todo = packed.join(other, "label").filter("shard <= shard2").select("label", "shard", "n", "data", "links", "shard2", "n2", "data2", "links2")
-    todo = todo.repartition(shuffle_partitions(spark), "label", "shard", "shard2").drop("label")
+    members = members.withColumn("d", F.size("v"))
+    shards = members.groupBy("label", "d").agg(F.ceil(F.count("*") / shard).cast("int").alias("n_shards"))
+    dealt = members.join(shards, ["label", "d"]).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("n_shards")).cast("int")).select("label", "d", "n_shards", "shard", "head", "copies", "v")
+    packed = dealt.repartition(shuffle_partitions(spark), "label", "d", "shard").sortWithinPartitions("label", "d", "shard", "head")
+    packed = written(packed.mapInArrow(_pack, "label long, d int, n_shards int, shard int, n int, data array<binary>, links array<binary>"), "graphs")
+    # each shard names its partners itself, so that no task meets all shards of a label
+    other = packed.select("label", "d", *[F.col(c).alias(f"{c}2") for c in ("shard", "n", "data", "links")])
+    todo = packed.withColumn("shard2", F.explode(F.sequence("shard", F.col("n_shards") - 1))).join(other, ["label", "d", "shard2"])
+    todo = todo.repartition(shuffle_partitions(spark), "label", "d", "shard", "shard2").select("shard", "n", "data", "links", "shard2", "n2", "data2", "links2")
     found = written(todo.mapInArrow(_search(least), "head long, links long, root long"), "finds")
     links = found.groupBy("head").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("head").alias("a"), F.col("root").alias("b")))
-    told = members.select("label", "key", "head", "copies").join(links, "head", "left").join(roots, F.col("head") == F.col("node"), "left")
-    told = told.select("label", "key", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "head").alias("component_id"))
-    usual = rows.select("vec_id", "label", "key", F.size("v").alias("d")).join(told, ["label", "key"], "left").join(common.withColumnRenamed("d", "usual"), "label", "left")
-    fits = F.col("key").isNotNull() & (F.col("d") == F.col("usual"))
-    out = usual.select("vec_id", F.when(fits, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(fits, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    told = members.select("label", "key", "d", "head", "copies").join(links, "head", "left").join(roots, F.col("head") == F.col("node"), "left")
+    told = told.select("label", "key", "d", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "head").alias("component_id"))
+    usual = rows.select("vec_id", "label", "key", F.size("v").alias("d")).join(told, ["label", "key", "d"], "left")
+    out = usual.select("vec_id", F.when(F.col("key").isNotNull(), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

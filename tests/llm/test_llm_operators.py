@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,6 +414,50 @@ def test_hnsw(spark):
     assert hnsw.near_duplicates(frame.filter("false")).count() == 0
 
 
+def test_vectors_of_several_lengths_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for label, d, n in ((1, 3, 30), (1, 2, 12), (2, 4, 40), (3, 2, 1)):
+        for k in range(n):
+            v = rng.normal(size=d).tolist() if k % 3 else [1.0, *[0.1 * (k % 4)] * (d - 1)]
+            rows += [(at, label, v), *([(at, label, v)] if k == 3 else [])]
+            at += 1
+    links = {i: sum(1 for j, (_, lb, w) in enumerate(rows) if j != k and lb == la and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93) for k, (i, la, v) in enumerate(rows)}
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), shard=8).collect()
+    assert len(got) == len(rows) and {r.vec_id: r.n_links for r in got} == links
+
+
+def test_letters_beyond_latin_differ():
+    coded = toxicity._Coded(pa.array(["своло книга земля ветер", "книга", "漢字漢字 字漢字漢", "fool f00l fööl"], pa.string()))
+    assert len(set(coded.hashes.tolist())) == len(coded.hashes) - 2 and coded.hashes[1] == coded.hashes[4]
+
+
+def test_kernel_against_brute_force():
+    """Normalised gap-weighted subsequences of three letters."""
+    rng = random.Random(8)
+
+    def features(s):
+        out = Counter()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(s))):
+                    out[s[i], s[j], s[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    def kernel(s, t):
+        a, b = features(s), features(t)
+        return sum(v * b[x] for x, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+
+    strings = ["".join(rng.choice("abcd") for _ in range(n)) for n in (5, 6, 7, 7)]
+    landmarks = toxicity.Landmarks(strings, 4)
+    for n in (5, 6, 7):
+        units = ["".join(rng.choice("abcd") for _ in range(n)) for _ in range(50)]
+        got = landmarks.compare(np.array([[ord(c) - 96 for c in u] for u in units], np.uint8))
+        want = np.array([[k if (k := kernel(u, s)) >= toxicity.FLOOR else 0 for s in strings] for u in units])
+        near = np.abs(want - toxicity.FLOOR) < 1e-5
+        assert np.allclose(got[~near], want[~near], atol=1e-4)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     rows, labels = [], []
