@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel with Nystroem landmarks.
 
 Units are words, with a mark in front and without punctuation (so b.a.d is bad), runs of single letters joined, common digit
-look-alikes as letters. The kernel of two strings counts their shared subsequences of three letters,
+look-alikes as letters; letters beyond Latin script stand for themselves by a hash to an alphabet of 26. The kernel of two strings counts their shared subsequences of three letters,
 each weighed by DECAY to the power of the length it spans, and is normalised; an inserted character
 costs a part of it only. A unit is as like a landmark as its best window of 5 to 7 letters is, so that
 inflected stems count. A sentence is represented by its best likeness to each landmark, mapped by the
@@ -62,7 +62,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 16
 
 _CACHE, _ROWS = 1 << 20, 1 << 15
 
-#: Letters 1-26, look-alike digits as letters, 27 for other characters, 0 between units, 255 for what is left out.
+#: Letters 1-26, look-alike digits as letters, 27 for accented Latin letters (below U+0180); a letter beyond is one of 1-26 by a hash of its code point; 0 between units, 255 for what is left out.
 _CODE = np.full(256, 255, np.uint8)
 _CODE[SPACES] = 0
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -77,6 +77,16 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[ord("."), ord("!"), ord("?")]] = True
 
 
+def _hashed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A letter code for each character of two bytes or more that begins at these places."""
+    point, more = data[at].astype(np.uint32), np.ones(at.size, bool)
+    for k in range(1, 4):
+        byte = data[np.minimum(at + k, data.size - 1)]
+        more &= (at + k < data.size) & (byte >= 0x80) & (byte < 0xC0)
+        point = np.where(more, point << np.uint32(6) ^ byte, point)
+    return (1 + ((point * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(26)).astype(np.uint8)
+
+
 class _Coded:
     """Units of several texts: starts and ends in codes, the sentence of each, and the text of each sentence."""
 
@@ -89,6 +99,9 @@ class _Coded:
         stop |= data == 0x0A
         sentence = np.concatenate(([0], np.cumsum(stop)))[:-1] if data.size else np.zeros(0, np.int64)
         codes = _CODE[data]
+        wide = np.flatnonzero(data >= 0xC6)
+        if wide.size:
+            codes[wide] = _hashed(data, wide)
         keep = codes != 255
         at = np.concatenate(([0], np.cumsum(keep)))
         self.codes, bounds = codes[keep], at[off]
