@@ -5,14 +5,16 @@ sure and its fraction is a probability. Pairs of fractional documents transfer m
 random until one of the two is integral, so that every document keeps its expectation and the words
 taken keep their sum. A bucket of a source's documents leaves at most one fractional document; such
 residuals combine in a reduction tree of buckets of buckets until one a source is left, which is
-rounded by its own probability. A source's words so differ from its target by less than one document.
+rounded by its own probability. Large documents are paired first, so what is left last is a small one. A
+source's words so differ from its target by less than one document.
 
 All random draws are hashes of the seed, the bucket and the position in doc_id order, so reruns,
 retries and other partitionings agree.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of its
 own, weighed last; a source without words has target 0; repeated rows are rounded one by one; an
-empty table gives an empty result; a null doc_id is kept.
+empty table gives an empty result; a null doc_id is kept; columns of docs stay, whatever their names, but
+one that has the name asked for the number of a copy (`copy`) is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselens.llm.shared import shuffle_partitions, written
@@ -34,7 +36,7 @@ CAP = 2.0
 BUCKET_ROWS = 1024
 FAN_IN = 64
 
-_ROW = "doc_id long, source string, bucket long, size long, copies int, p double"
+_ROW = "doc_id long, text_hash long, source string, bucket long, size long, copies int, p double"
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -81,7 +83,7 @@ def _pivot(seed: int, level: int, final: bool):
         for batch in batches:
             done: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc, source, bucket, size, copies, p = row
+                doc, mark, source, bucket, size, copies, p = row
                 if (source, bucket) != group:
                     if held:
                         done.append(close(held, group, at))
@@ -90,50 +92,53 @@ def _pivot(seed: int, level: int, final: bool):
                 at += 1
                 u = _uniform(seed, *place, at)
                 if p <= 0 or p >= 1 or not size:
-                    done.append((doc, source, bucket, size, copies + int(p >= 1 or (0 < p and u < p)), 0.0))
+                    done.append((doc, mark, source, bucket, size, copies + int(p >= 1 or (0 < p and u < p)), 0.0))
                 elif held is None:
                     held = row
                 else:
-                    was, now = transfer(held[3], held[5], size, p, u)
-                    old = (*held[:5], was)
-                    new = (doc, source, bucket, size, copies, now)
+                    was, now = transfer(held[4], held[6], size, p, u)
+                    old = (*held[:6], was)
+                    new = (doc, mark, source, bucket, size, copies, now)
                     held = None
                     for x in (old, new):
-                        if 0 < x[5] < 1 and held is None:
+                        if 0 < x[6] < 1 and held is None:
                             held = x
                         else:
-                            done.append((*x[:4], x[4] + int(x[5] >= 0.5), 0.0))
+                            done.append((*x[:5], x[5] + int(x[6] >= 0.5), 0.0))
             yield table(done)
         if held:
             yield table([close(held, group, at)])
 
     def close(held: tuple, group: tuple, at: int) -> tuple:
         if final:
-            return (*held[:4], held[4] + int(_uniform(seed, level, group[1], at, -1) < held[5]), 0.0)
+            return (*held[:5], held[5] + int(_uniform(seed, level, group[1], at, -1) < held[6]), 0.0)
         return held
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["doc_id", "source", "bucket", "size", "copies", "p"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=["doc_id", "text_hash", "source", "bucket", "size", "copies", "p"])
 
     return run
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
 def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target and how many copies the mix takes."""
+    """Per row of docs: doc_id, text_hash, source, size, source_size, target and how many copies the mix takes."""
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sized = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), _size().alias("size")), "mix-sizes")
     targets = written(source_targets(sized, weights, share, cap), "mix-targets")
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     n = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS))
-    per_doc = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    per_doc = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", F.pmod(F.xxhash64("doc_id", "size"), n).cast("long").alias("bucket"), "size", F.floor(per_doc).cast("int").alias("copies"), (per_doc - F.floor(per_doc)).alias("p")
+        "doc_id", "text_hash", "source", F.pmod(F.xxhash64("doc_id", "text_hash"), n).cast("long").alias("bucket"), "size", F.floor(per_doc).cast("int").alias("copies"), (per_doc - F.floor(per_doc)).alias("p")
     )
     level, buckets, parts = 0, max(1, -(-most // BUCKET_ROWS)), []
     while True:
-        order = ["source", "bucket", "doc_id", "size", "copies", "p"]
+        order = ["source", "bucket", F.desc("size"), "doc_id", "text_hash", "copies", "p"]
         rounded = rows.repartition(shuffle_partitions(spark), "source", "bucket").sortWithinPartitions(*order)
         rounded = written(rounded.mapInArrow(_pivot(seed, level, final=buckets == 1), _ROW), f"mix-level{level}")
         parts.append(rounded.filter("p = 0"))
@@ -144,23 +149,21 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "copies")
-
-
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its number in a column copy (from 1).
-    Rows that share a doc_id and a size take one another's places in doc_id order."""
-    taken = copies(docs, **options).select("doc_id", "size", "copies")
-    names = docs.columns
-    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    repeated = taken.groupBy("doc_id", "size").agg(F.collect_list("copies").alias("__each")).withColumnsRenamed({"doc_id": "__id", "size": "__n"})
-    sized = docs.withColumn("__size", size)
-    joined = sized.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
+    return out.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies")
+
+
+def mix_sources(docs: DataFrame, into: str = "copy", **options) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its number in a column `into` (from 1).
+    Rows that share doc_id and text take one another's places."""
+    taken = copies(docs, **options).select("doc_id", "text_hash", "copies")
+    names = [c for c in docs.columns if c.lower() != into.lower()]
+    repeated = taken.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list("copies")).alias("__each"))
+    joined = docs.withColumn("__own", F.xxhash64("text")).join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
     once = joined.filter("size(__each) = 1").withColumn("__copies", F.element_at("__each", 1))
-    place = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy("text"))
-    many = joined.filter("size(__each) > 1").withColumn("__place", place).withColumn("__copies", F.expr("sort_array(__each)[__place - 1]"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("source"))
+    many = joined.filter("size(__each) > 1").withColumn("__place", place).withColumn("__copies", F.expr("__each[__place - 1]"))
     both = once.select(*names, "__copies").unionByName(many.select(*names, "__copies")).filter("__copies > 0")
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names, "copy")
+    return both.withColumn(into, F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names, into)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from proselens.session import reachable
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only in local mode, where the driver is the executor, if the session names no folder.
 FALLBACK_DIR = "/tmp/checkpoints/proselens"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir. A cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
 
@@ -41,7 +44,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Few rows an Arrow batch, as texts may be long; a setting that the user chose stays."""
+    """Few rows an Arrow batch, as texts may be long; a setting that the user chose stays. Spark reads it when the query runs, so it is left set."""
     reachable(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
