@@ -50,7 +50,7 @@ def low_prose(text: Column) -> Column:
 
 def looks_like_code(text: Column) -> Column:
     """every line that is not blank has a sign of code, and there is little prose."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
     sign = lambda x: reduce(lambda a, b: a | b, [x.rlike(p) for p in CODE_SIGNS])
     return (F.size(lines) > 0) & F.forall(lines, sign) & low_prose(text)
 

@@ -10,18 +10,23 @@ EMPHASIS = r"(\*\*[^*]+\*\*|\*[^*\s][^*]*\*|_[^_\s][^_]*_)"
 CANNOT_NOT = r"(?i)\bcan(?:not|'t)\b[^.]{0,40}\bnot\b"
 NEVER_NOT = r"(?i)\bnever\b[^.]{0,30}\bnot\b"
 COLON_FRAGMENT = r"^[^.:]{5,60}:\s+\w"
-DASH_FRAGMENT = "\\S\\s(—)\\s\\w"
+DASH_FRAGMENT = r"\S\s(—|–)\s\w"
 ELSE = r"(?i)\b(else|otherwise|falling back)\b"
 FENCED = r"[a-z],\s+[a-z ]{4,40},\s+[a-z]"
 NONASSERTIVE = r"(?i)\bthe\s+\w+\s+(anywhere|any\b|ever\b)"
 HEAD_NOUN = r"(?i),\s*(as|in the form of)\s+\w+"
 DOC_PATH = r"(?i)`[\w./-]+\.md`"
-DOC_SECTION = "(?i)`[\\w./-]+`\\s*§"
+DOC_SECTION = r"(?i)`[\w./-]+`\s*§"
 EQUATION = r"(?i)\bis\s+(the|a)\s+\w+"
 ACTION = r"(?i)\b(does|says|means|refuses|passes|returns|runs)\b"
 DANGLING = r"^(It|This|That|They)\b"
 
 
+def stripped(text: Column) -> Column:
+    """text without outer whitespace of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def rules(before: Column, after: Column) -> dict[str, Column]:
     has = lambda x, p: x.rlike(p)
     gone = lambda p: has(before, p) & ~has(after, p)
@@ -34,7 +39,7 @@ def rules(before: Column, after: Column) -> dict[str, Column]:
         "P3": has(before, EQUATION) & has(after, ACTION),
         "P4": (has(before, COLON_FRAGMENT) | has(before, DASH_FRAGMENT)) & ~has(after, COLON_FRAGMENT),
         "P5": has(before, CANNOT_NOT) | has(before, NEVER_NOT),
-        "P6": has(F.trim(before), DANGLING) & ~has(F.trim(after), DANGLING),
+        "P6": has(stripped(before), DANGLING) & ~has(stripped(after), DANGLING),
         "P7": turn(before) & ~turn(after),
         "P9": gone(NONASSERTIVE),
     }

@@ -240,11 +240,15 @@ def first_firing(rules: tuple[str, ...] = ORDER):
     return run
 
 
+def clauses_of(spans: Column) -> Column:
+    """K5: the clauses of spans, single-spaced."""
+    return F.transform(spans, lambda s: F.trim(F.regexp_replace(s["clause"], r"(?U)\s+", " ")))
+
+
 def check(df: DataFrame, text: str = "text", rules: tuple[str, ...] = ORDER) -> DataFrame:
     """K4, K5: rows on which a rule fires, with rule, score 1.0, source, spans and single-spaced clauses."""
     fired = df.filter(prefilter(F.col(text), rules)).withColumn("fired", first_firing(rules)(F.col(text))).filter("fired.rule IS NOT NULL")
-    clauses = F.transform("fired.spans", lambda s: F.trim(F.regexp_replace(s["clause"], r"(?U)\s+", " ")))
-    return fired.select("*", F.col("fired.rule").alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("source"), F.col("fired.spans").alias("spans"), clauses.alias("clauses")).drop("fired")
+    return fired.select("*", F.col("fired.rule").alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("source"), F.col("fired.spans").alias("spans"), clauses_of(F.col("fired.spans")).alias("clauses")).drop("fired")
 
 
 def structure_column():

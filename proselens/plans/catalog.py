@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from proselens.functions import codepoints, display, lexicon, normalize, predicates, sentences, silver
 from proselens.operators import agreement, cache, calibrate, checkers, extract, model, ranking, spans
+from proselens.plans import scan as scanning
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -47,7 +48,7 @@ def _t() -> Column:
 # ---------------------------------------------------------------- verdicts
 
 _SIGN = " OR ".join(f"regexp_matches(l, {_q(p)})" for p in predicates.CODE_SIGNS)
-_LINES = "list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')"
+_LINES = "list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \\t\\n\\v\\f\\r]'))"
 _SHARE = f"length(regexp_replace(text, {_q(predicates.PUNCTUATION)}, '', 'g')) / greatest(1, length(text))::DOUBLE"
 _LOW = f"(len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) < 3 OR {_SHARE} > 0.04)"
 _DIRECTIVE = f"(regexp_matches(ltrim(text, '/*# '), {_q(predicates.DIRECTIVE)}) OR regexp_matches(text, {_q(predicates.DIRECTIVE)}))"
@@ -157,13 +158,12 @@ def sentence_stats(spark, d):
     return s.groupBy("lang").agg(F.sum(F.size("s")).alias("n"), F.max(F.array_max(F.transform("s", lambda x: F.length(x)))).alias("longest"))
 
 
-_ABBREVIATED = "concat('Mr. A. Smith vs. Dr. b. etc. e.g. this. ', left(text, 200))"
+_ABBREVIATED = "concat('Mr. A. Smith vs. Dr. b. etc. e.g. this. ', text)"
 
 
 @_add(f"SELECT doc_id, replace({_protected(_ABBREVIATED)}, chr(1), '|') AS view FROM documents")
 def abbrev_protect(spark, d):
-    whole = _ABBREVIATED.replace("left(text, 200)", "text")  # the SQL has beginnings only
-    return _docs(spark, d).select("doc_id", F.replace(sentences.protect(F.expr(whole)), F.lit(sentences.PLACEHOLDER), F.lit("|")).alias("view"))
+    return _docs(spark, d).select("doc_id", F.replace(sentences.protect(F.expr(_ABBREVIATED)), F.lit(sentences.PLACEHOLDER), F.lit("|")).alias("view"))
 
 
 @_add("SELECT doc_id, len(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), '\\n\\s*\\n', chr(1), 'g'), chr(1)))::INTEGER AS n FROM documents")
@@ -265,6 +265,58 @@ def structure_tokens(spark, d):
     return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
+#: Comments with a known finding: rule (none: nothing fires), text, and the clause that is found.
+_PLANTED = (
+    ("P14", "The socket is a shared handle, and it stays open for the run, so callers reuse it.", ", and it stays open for the run, so", "it"),
+    (None, "The loader opens the file, and it stays open for the run, so callers reuse it.", "", ""),
+    ("P13", "The parser, or whatever module replaces it later, returns a tree.", ", or whatever module replaces it later,", ""),
+    (None, "The parser, or a lexer, returns a tree of all the nodes.", "", ""),
+    ("P15", "The queue — a bounded list of jobs — drains first.", "— a bounded list of jobs —", ""),
+    (None, "Rows 3 – 5 and 7 – 9 are kept as they have been all along.", "", ""),
+    ("C2", "total = add(a, b); rest = total - 2 * a; emit(rest, total);", "", ""),
+    ("C13", "The first list points to the second one → and back to it.", "U+2192", ""),
+    ("P13", "A file that is not an image, including one with no name, gets skipped.", ", including one with no name,", ""),
+    ("P14", "The workers are forked early, and they never run alone, so no deadlock can form.", ", and they never run alone, so", "they"),
+    (None, "Plain prose says one thing at a time and stops there.", "", ""),
+)
+_LEAD = "CASE WHEN o_orderkey % 11 = 6 THEN concat('count = ', o_orderkey, '; ') ELSE concat('Order ', o_orderkey, ' is kept by clerk ', o_custkey, '. ') END"
+_PLANTED_TEXT = "concat(" + _LEAD + ", CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN {_q(x[1])}" for i, x in enumerate(_PLANTED)) + " END)"
+_PLANTED_SQL = (
+    "planted AS (SELECT *, strpos(text, clause) - 1 AS a FROM (SELECT o_orderkey, o_orderpriority AS path, "
+    + _PLANTED_TEXT
+    + " AS text, "
+    + ", ".join(f"CASE o_orderkey % 11 {' '.join(f'WHEN {i} THEN {_q(x[k]) if x[k] is not None else chr(78) + chr(85) + chr(76) + chr(76)}' for i, x in enumerate(_PLANTED))} END AS {name}" for k, name in ((0, "rule"), (2, "clause"), (3, "pronoun")))
+    + " FROM orders))"
+)
+
+
+def _planted(spark, d) -> DataFrame:
+    return _table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("path"), F.expr(_PLANTED_TEXT).alias("text"))
+
+
+def _planted_spans(rule: str) -> None:
+    def query(spark, d):
+        return _spans(_planted(spark, d), rule, "o_orderkey")
+
+    query.__name__ = f"{rule.lower()}_planted"
+    _add(f'WITH {_PLANTED_SQL} SELECT o_orderkey, clause, pronoun, a::INTEGER AS start, (a + length(clause))::INTEGER AS "end" FROM planted WHERE rule = {_q(rule)}')(query)
+
+
+for _rule in ("P13", "P14", "P15"):
+    _planted_spans(_rule)
+
+
+@_add(f"WITH {_PLANTED_SQL} SELECT o_orderkey, rule, 1.0::DOUBLE AS score, 'heuristic' AS source, 1 AS n_spans, [clause] AS clauses FROM planted WHERE rule LIKE 'P%'")
+def first_checker_planted(spark, d):
+    return checkers.check(_planted(spark, d)).select("o_orderkey", "rule", "score", "source", F.size("spans").alias("n_spans"), "clauses")
+
+
+@_add(f"WITH {_PLANTED_SQL} SELECT o_orderkey, path, CASE WHEN dash IS NULL THEN rule ELSE 'C13' END AS rule, CASE WHEN dash IS NOT NULL THEN [dash] WHEN rule = 'C2' THEN [] ELSE [clause] END AS clauses FROM (SELECT *, CASE WHEN contains(text, '—') THEN 'U+2014' WHEN contains(text, '–') THEN 'U+2013' END AS dash FROM planted) WHERE rule IS NOT NULL OR dash IS NOT NULL")
+def scan_planted(spark, d):
+    # the dashes of a fence are code points that the scan does not allow, and these claim a comment first
+    return scanning.claimed(_planted(spark, d).withColumn("verdict", predicates.verdict(_t(), _t()))).select("o_orderkey", "path", "rule", "clauses")
+
+
 # ---------------------------------------------------------------- extraction (E*)
 
 
@@ -295,6 +347,34 @@ def extract_markdown(spark, d):
     return extract.extract(files)[0].select("path", "line", "kind", "end_line", F.length("text").alias("n"))
 
 
+#: A source with comments at known places, {} is a number.
+_SOURCE = {
+    "ts": "const a = 1; // trailing {}\n// one {}\n// two\nlet r = /[/]x/g, t = `// no ${f(1 /* in {} */)}`;\n/* block\n   {} */\nlet s = '// no';\n",
+    "py": "import os  # first {}\n# one {}\n# two\ns = '# no'\n\ndef f():\n    return s  # last {}\n",
+    "md": "---\nkey: {}\n---\n# Title {}\n\nA paragraph with the number {}\nand a second line.\n\n```\ncode {}\n```\n\n- item {}\n",
+}
+#: What it holds: line, column, last line, kind, text.
+_HELD = {
+    "ts": ((1, 14, 1, "trailing", "trailing {}"), (2, 1, 3, "line", "one {}\ntwo"), (4, 35, 4, "block", "in {}"), (5, 1, 6, "block", "block\n{}")),
+    "py": ((1, 12, 1, "trailing", "first {}"), (2, 1, 3, "line", "one {}\ntwo"), (7, 15, 7, "trailing", "last {}")),
+    "md": ((4, 1, 4, "prose", "Title {}"), (6, 1, 7, "prose", "A paragraph with the number {} and a second line."), (13, 1, 13, "prose", "item {}")),
+}
+
+
+def _planted_sources(kind: str) -> None:
+    def query(spark, d):
+        orders = _table(spark, d, "orders").select(F.concat(F.lit("f"), "o_orderkey", F.lit(f".{kind}")).alias("path"), F.replace(F.lit(_SOURCE[kind]), F.lit("{}"), F.col("o_orderkey").cast("string")).alias("text"))
+        return extract.extract(orders)[0].select("path", "line", "col", "end_line", "kind", "text")
+
+    query.__name__ = f"extract_planted_{kind}"
+    rows = ", ".join(f"({a}, {b}, {c}, {_q(k)}, {_q(x)})" for a, b, c, k, x in _HELD[kind])
+    _add(f"SELECT concat('f', o_orderkey, '.{kind}') AS path, line, col, end_line, kind, replace(body, '{{}}', o_orderkey::VARCHAR) AS text FROM orders, (VALUES {rows}) v(line, col, end_line, kind, body)")(query)
+
+
+for _kind in _SOURCE:
+    _planted_sources(_kind)
+
+
 _LINE_ROWS = "SELECT doc_id, unnest(range(0, len(ls)))::INTEGER AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"
 _TOGGLED = f"""l AS ({_LINE_ROWS}), m AS (SELECT doc_id, pos, pos % 7 = 3 AS off, pos % 11 = 5 AS ok FROM l),
 a AS (SELECT *, last_value(CASE WHEN ok THEN false WHEN off THEN true END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS after FROM m),
@@ -564,8 +644,11 @@ def labels_with_fallback(spark, d):
 
 # ---------------------------------------------------------------- silver labels
 
-_BEFORE = "concat(CASE doc_id % 5 WHEN 0 THEN 'It cannot be that this is not the **case**, as a list, in one. ' WHEN 1 THEN 'The place anywhere: otherwise `a/b.md` is the end. ' WHEN 2 THEN 'Note this: ' ELSE '' END, left(text, 300))"
-_AFTER = "concat(CASE doc_id % 3 WHEN 0 THEN 'The parser returns (at most) one. ' WHEN 1 THEN 'That runs: else it stops. ' ELSE '' END, right(text, 200))"
+_BEFORE = "concat(CASE doc_id % 5 WHEN 0 THEN 'It cannot be that this is not the **case**, as a list, in one. ' WHEN 1 THEN 'The place anywhere: otherwise `a/b.md` is the end. ' WHEN 2 THEN 'Note this: ' ELSE '' END, text)"
+_AFTER = "concat(CASE doc_id % 3 WHEN 0 THEN 'The parser returns (at most) one. ' WHEN 1 THEN 'That runs: else it stops. ' ELSE '' END, text)"
+
+
+_WHOLE = "trim({}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))"
 
 
 def _sql_labels() -> str:
@@ -574,8 +657,8 @@ def _sql_labels() -> str:
     tests = {
         "P10": gone(silver.EMPHASIS), "P11": gone(silver.HEAD_NOUN), "P12": f"({b(silver.DOC_PATH)} OR {b(silver.DOC_SECTION)})",
         "P13": f"({b(silver.FENCED)} AND contains(a, '(') AND NOT contains(b, '('))", "P3": f"({b(silver.EQUATION)} AND {a(silver.ACTION)})",
-        "P4": f"(({b(silver.COLON_FRAGMENT)} OR {b(silver.DASH_FRAGMENT)}) AND NOT {a(silver.COLON_FRAGMENT)})", "P5": f"({b(silver.CANNOT_NOT)} OR {b(silver.NEVER_NOT)})",
-        "P6": f"(regexp_matches(trim(b), {_q(silver.DANGLING)}) AND NOT regexp_matches(trim(a), {_q(silver.DANGLING)}))",
+        "P4": f"(({b(silver.COLON_FRAGMENT)} OR {b('[^ \\t\\n\\f\\r][ \\t\\n\\f\\r][–—][ \\t\\n\\f\\r][A-Za-z0-9_]')}) AND NOT {a(silver.COLON_FRAGMENT)})", "P5": f"({b(silver.CANNOT_NOT)} OR {b(silver.NEVER_NOT)})",
+        "P6": f"(regexp_matches({_WHOLE.format('b')}, {_q(silver.DANGLING)}) AND NOT regexp_matches({_WHOLE.format('a')}, {_q(silver.DANGLING)}))",
         "P7": f"({b(silver.ELSE)} AND contains(b, ':') AND NOT ({a(silver.ELSE)} AND contains(a, ':')))", "P9": gone(silver.NONASSERTIVE),
     }
     return "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{r}' END" for r, t in tests.items()) + "], lambda x: x IS NOT NULL)"
@@ -585,8 +668,7 @@ _PAIRS = f"r AS (SELECT doc_id, {_BEFORE} AS b, {_AFTER} AS a FROM documents), m
 
 
 def _mined(spark, d) -> DataFrame:
-    before, after = _BEFORE.replace("left(text, 300)", "text"), _AFTER.replace("right(text, 200)", "text")  # the SQL has parts only
-    pairs = _docs(spark, d).select("doc_id", F.expr(before).alias("before"), F.expr(after).alias("after"))
+    pairs = _docs(spark, d).select("doc_id", F.expr(_BEFORE).alias("before"), F.expr(_AFTER).alias("after"))
     return pairs.withColumn("labels", silver.silver_labels(F.col("before"), F.col("after")))
 
 
@@ -718,7 +800,7 @@ def ngram_counts(spark, d):
     return pairs.groupBy("pair").agg(F.count("*").alias("n")).filter("n >= 3")
 
 
-@_add("SELECT gram, count(*) AS n FROM (SELECT w, substring(w, i::INTEGER, 3) AS gram FROM (SELECT w, unnest(range(1, length(w) - 1)) AS i FROM (SELECT ' ' || unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) || ' ' AS w FROM documents WHERE doc_id % 4 = 0))) GROUP BY gram")
+@_add("SELECT gram, count(*) AS n FROM (SELECT w, substring(w, i::INTEGER, 3) AS gram FROM (SELECT w, unnest(range(1, length(w) - 1)) AS i FROM (SELECT ' ' || unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) || ' ' AS w FROM documents))) GROUP BY gram")
 def char_wb_counts(spark, d):
     words = _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("w"))
     padded = words.select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
@@ -735,7 +817,7 @@ def gate_train_score(spark, d):
 # ---------------------------------------------------------------- report fields
 
 
-@_add(f"WITH {_FOUND} SELECT doc_id, CASE WHEN rule = 'C2' THEN 'code' WHEN origin = 'heuristic' THEN 'flag' ELSE printf('%.2f', score) END AS tag, concat(line, ':', col, CASE WHEN line % 2 = 0 THEN '' ELSE concat('-', line + 1, ':', col) END) AS place FROM f WHERE (score * 1000)::BIGINT % 10 <> 5")
+@_add(f"WITH {_FOUND} SELECT doc_id, CASE WHEN rule = 'C2' THEN 'code' WHEN origin = 'heuristic' THEN 'flag' ELSE printf('%.2f', score) END AS tag, concat(line, ':', col, CASE WHEN line % 2 = 0 THEN '' ELSE concat('-', line + 1, ':', col) END) AS place FROM f")
 def report_fields(spark, d):
     found = _findings(spark, d)
     end = F.col("line") + F.col("line") % 2
@@ -771,23 +853,23 @@ def events_session(spark, d):
 # ---------------------------------------------------------------- the whole scan
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    found = scanning.claimed(rows.withColumn("verdict", predicates.verdict(_t(), _t()))).select("doc_id", "path", "rule", "score", "source", "clauses")
+    return ranking.report_order(found.withColumns({"line": F.lit(1), "seq": F.col("doc_id")}), show_code=True).drop("line", "seq")
+
+
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as comments: verdicts, code points and checkers in one pass, ranked worst first."""
+    return _ranked(_docs(spark, sf_dir).select("doc_id", F.col("source").alias("path"), _t()))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as comments: verdicts, code points, checkers, and a score by punctuation, ranked worst first."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("path"), _t(), predicates.verdict(_t(), _t()).alias("verdict"))
-    prose = rows.filter("verdict = 'prose'")
-    found = lambda df, rule, clauses: df.select("doc_id", "path", F.lit(rule).alias("rule"), F.lit(1.0).alias("score"), F.lit("heuristic").alias("source"), clauses.alias("clauses"))
-    code = found(rows.filter("verdict = 'code'"), "C2", F.array().cast("array<string>"))
-    points = prose.withColumn("points", codepoints.disallowed(_t())).filter("size(points) > 0")
-    marked = found(points, "C13", F.transform("points", codepoints.hexadecimal))
-    fired = checkers.check(prose).select("doc_id", "path", "rule", "score", "source", "clauses")
-    every = code.unionByName(marked).unionByName(fired)
-    rank = F.when(F.col("rule") == "C2", 0).when(F.col("rule") == "C13", 1).otherwise(2)  # F8: the first claims the row
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(rank))
-    named = every.withColumn("n", first).filter("n = 1").drop("n").withColumns({"line": F.lit(1), "seq": F.col("doc_id")})
-    return ranking.report_order(named, show_code=True).drop("line", "seq")
-
-
-_QUERIES["scan_documents"] = flagship
+    """The same over documents and the comments with known findings."""
+    planted = _planted(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id")
+    return _ranked(_docs(spark, sf_dir).select("doc_id", F.col("source").alias("path"), _t()).unionByName(planted))
+
+
+_QUERIES["scan_documents"] = scan_documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

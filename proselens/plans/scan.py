@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.functions import codepoints, predicates
@@ -24,25 +24,33 @@ def enabled_rules(enable: tuple[str, ...] = (), disable: tuple[str, ...] = ()) -
     return (frozenset({"C2", "C13", *checkers.ORDER}) - (DISABLED - set(enable))) - set(disable)
 
 
+def claimed(rows: DataFrame, rules: frozenset[str] = frozenset({"C2", "C13", *checkers.ORDER}), whitelist: list[tuple[int, int]] | None = None) -> DataFrame:
+    """F8: rows (text, verdict) on which a rule fires, with rule, score, source and clauses. Code claims a row even if its rule is
+    off, then code points, then the first checker that fires. One pass without a shuffle: a checker sees only
+    texts that nothing has claimed and that its pre-filter passes."""
+    text, none = F.col("text"), F.array().cast("array<string>")
+    own = tuple(r for r in checkers.ORDER if r in rules)
+    prose = F.col("verdict") == "prose"
+    points = F.when(prose, F.transform(codepoints.disallowed(text, whitelist), codepoints.hexadecimal)) if "C13" in rules else F.lit(None).cast("array<string>")
+    rows = rows.withColumn("__points", points)
+    marked = F.coalesce(F.size("__points") > 0, F.lit(False))
+    if own:
+        rows = rows.withColumn("__left", F.when(prose & ~marked & checkers.prefilter(text, own), text)).withColumn("__fired", checkers.first_firing(own)("__left"))
+    else:
+        rows = rows.withColumn("__fired", F.lit(None).cast(f"struct<rule:string,spans:{checkers.SPAN}>"))
+    code = F.col("verdict") == "code"
+    rule = F.when(code, F.lit("C2") if "C2" in rules else F.lit(None)).when(marked, "C13").otherwise(F.col("__fired.rule"))
+    clauses = F.when(code, none).when(marked, F.col("__points")).otherwise(checkers.clauses_of(F.col("__fired.spans")))
+    out = rows.withColumns({"rule": rule, "score": F.lit(1.0), "source": F.lit("heuristic"), "clauses": clauses})
+    return out.filter("rule IS NOT NULL").drop("__points", "__left", "__fired")
+
+
 def findings(comments: DataFrame, rules: frozenset[str], whitelist: list[tuple[int, int]] | None = None, min_length: int = 0) -> DataFrame:
-    """F8: code claims a comment even if its rule is off, then code points, then the first checker that fires."""
+    """The findings of comments, in the report's columns."""
     text = F.col("text")
     verdict = F.when(F.col("kind") == "prose", predicates.markdown_verdict(text)).otherwise(predicates.verdict(text, F.col("raw")))
     rows = comments.filter(F.length("text") >= min_length).withColumn("verdict", verdict)
-
-    def named(df: DataFrame, rule: str, clauses) -> DataFrame:
-        return df.withColumns({"rule": F.lit(rule), "score": F.lit(1.0), "source": F.lit("heuristic"), "clauses": clauses}).select(*_FINDING)
-
-    prose = rows.filter("verdict = 'prose'")
-    out = checkers.check(prose, rules=tuple(r for r in checkers.ORDER if r in rules) or checkers.ORDER).filter(F.col("rule").isin(*rules)).select(*_FINDING)
-    if "C13" in rules:
-        marked = prose.withColumn("points", codepoints.disallowed(text, whitelist))
-        out = named(marked.filter("size(points) > 0"), "C13", F.transform("points", codepoints.hexadecimal)).unionByName(out)
-    if "C2" in rules:
-        out = out.unionByName(named(rows.filter("verdict = 'code'"), "C2", F.array().cast("array<string>")))
-    rank = F.when(F.col("rule") == "C13", 0).otherwise(1)
-    first = F.row_number().over(Window.partitionBy("path", "line", "col").orderBy(rank))
-    return out.withColumn("__n", first).filter("__n = 1").drop("__n").withColumn("seq", F.lit(0))
+    return claimed(rows, rules, whitelist).select(*_FINDING).withColumn("seq", F.lit(0))
 
 
 def report(found: DataFrame, comments: DataFrame, skipped: DataFrame) -> dict:

@@ -23,3 +23,18 @@ def test_scan(spark, tmp_path, capsys):
 def test_nothing_to_scan(spark, tmp_path):
     found, comments, _ = scan.scan(spark, [f"{tmp_path}/*.ts"])
     assert found.count() == 0 and comments.count() == 0
+
+
+def test_entry_finds_the_planted_comments(spark):
+    import __spark_entry__
+
+    rules = {r.rule for r in __spark_entry__.entry(spark).select("rule").distinct().collect()}
+    assert rules == {"C2", "C13", "P13", "P14"}
+
+
+def test_code_claims_a_comment_though_its_rule_is_off(spark):
+    rows = spark.createDataFrame([("code", "The queue — a bounded list of jobs — drains first."), ("prose", "The queue — a bounded list of jobs — drains first.")], "verdict string, text string")
+    found = scan.claimed(rows, frozenset({"P15"})).collect()
+    assert [(r.verdict, r.rule, r.clauses) for r in found] == [("prose", "P15", ["— a bounded list of jobs —"])]
+    assert scan.claimed(rows, frozenset({"C2"})).select("rule").collect() == [("C2",)]
+    assert {r.rule for r in scan.claimed(rows).collect()} == {"C2", "C13"}
