@@ -57,6 +57,12 @@ class Store:
     def save(self, entries: DataFrame, name: str) -> None:
         entries.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         fs, path = self._pointer()
-        out = fs.create(path, True)
+        aside = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT.{name}")
+        out = fs.create(aside, True)
         out.write(bytearray(name.encode()))
         out.close()
+        # renamed over the old one, so that a reader finds one or the other
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(fs.makeQualified(aside), fs.makeQualified(path), options)

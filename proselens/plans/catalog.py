@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselens.functions import codepoints, display, lexicon, normalize, predicates, sentences, silver
-from proselens.operators import agreement, cache, calibrate, checkers, extract, model, ranking, spans
+from proselens.operators import agreement, cache, calibrate, checkers, evaluation, extract, model, ranking, spans, training
 from proselens.plans import scan as scanning
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -814,6 +814,108 @@ def gate_train_score(spark, d):
     return fitted.score(rows).select("doc_id", F.round("gate", 6).alias("gate"), ranking.top_rules(["P3", "P6"], F.col("probs"), 1).alias("ranked"))
 
 
+# ---------------------------------------------------------------- training rows and evaluation
+
+#: Revisions of comments with their labels, made of orders: what changed goes round by o_orderkey.
+_REVISED = (
+    ("The queue — a bounded list of jobs — drains first.", "The queue (a bounded list of jobs) drains first."),
+    ("The queue - a bounded list of jobs - drains first.", "The queue (a bounded list of jobs) drains first."),
+    ("The queue, bounded as a list, drains first.", "The queue (bounded as a list) drains first."),
+    ("The queue, bounded as a list, drains first.", "The queue is bounded and drains first."),
+    ("The queue drains first.", "The queue is drained first."),
+    ("The queue — a bounded list of jobs — drains first.", "The queue — a bounded list of jobs — drains later."),
+    ("The queue — a bounded list of jobs — drains first.", "The queue drains first."),
+)
+_SHAPES = ("dash -> parentheses", "spaced hyphens -> parentheses", "comma -> parentheses", "comma -> commas dropped", "something else", "something else", "something else")
+_OUTCOMES = ("parens", None, None, None, None, "kept", "rewritten")
+_CASE = lambda values: "CASE o_orderkey % 7 " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else _q(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _revised(spark, d) -> DataFrame:
+    rows = _table(spark, d, "orders").select("o_orderkey", F.expr(_CASE([b for b, _ in _REVISED])).alias("before"), F.expr(_CASE([a for _, a in _REVISED])).alias("after"))
+    dashes = checkers.spans_of("P15")
+    return rows.withColumns({"dashes": F.size(dashes("before")), "left": F.size(dashes("after"))})
+
+
+@_add(f"SELECT {_CASE(_SHAPES)} AS shape, count(*) AS n FROM orders GROUP BY 1")
+def edit_shape_histogram(spark, d):
+    return _revised(spark, d).groupBy(evaluation.edit_shape(F.col("before"), F.col("after"), F.col("dashes")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+@_add(f"SELECT outcome, count(*) AS n FROM (SELECT {_CASE(_OUTCOMES)} AS outcome FROM orders) WHERE outcome IS NOT NULL GROUP BY 1")
+def dash_outcomes(spark, d):
+    outcome = evaluation.dash_outcome(F.col("before"), F.col("after"), F.col("dashes"), F.col("left")).alias("outcome")
+    return _revised(spark, d).select(outcome).filter("outcome IS NOT NULL").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@_add(f"WITH {_PLANTED_SQL} SELECT count(*) AS comments, count(*)::BIGINT AS spans FROM planted WHERE rule = 'P13'")
+def firing_counts(spark, d):
+    return evaluation.firing(_planted(spark, d).withColumn("spans", checkers.spans_of("P13")(_t())))
+
+
+@_add(f"WITH {_FOUND} SELECT list_sort(list_distinct(list(rule))) AS rules FROM f")
+def violated_rules(spark, d):
+    return evaluation.violated(_findings(spark, d))
+
+
+@_add(f"WITH {_FOUND} SELECT rule, count(*) AS n FROM f GROUP BY rule")
+def rule_totals(spark, d):
+    return evaluation.totals(_findings(spark, d))
+
+
+@_add(f"WITH {_FOUND} SELECT (r - 1)::INTEGER AS place, rule, coalesce(n, 0) AS n, coalesce(n, 0) >= 10 AS kept FROM (SELECT unnest(range(1, {len(_RULES) + 1})) AS r, unnest([{', '.join(map(_q, _RULES))}]) AS rule) LEFT JOIN (SELECT rule, count(*) AS n FROM f GROUP BY rule) USING (rule)")
+def support_dropped(spark, d):
+    return evaluation.supported(_findings(spark, d), _RULES)
+
+
+_SCORED_SQL = "s AS (SELECT o_orderkey AS id, concat('P', o_orderkey % 5) AS rule, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 5 > 0 THEN 1 ELSE 0 END AS y, CASE WHEN o_custkey % 3 = 0 AND o_orderkey % 7 > 0 OR o_custkey % 11 = 0 THEN 1 ELSE 0 END AS z FROM orders)"
+
+
+def _scored_orders(spark, d) -> DataFrame:
+    z = (F.col("o_custkey") % 3 == 0) & (F.col("o_orderkey") % 7 > 0) | (F.col("o_custkey") % 11 == 0)
+    y = (F.col("o_custkey") % 3 == 0) & (F.col("o_orderkey") % 5 > 0)
+    return _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("P"), F.col("o_orderkey") % 5).alias("rule"), y.cast("int").alias("y"), z.cast("int").alias("z"))
+
+
+@_add(f"WITH {_SCORED_SQL} SELECT round(sum(y * z) / sum(z), 6)::DOUBLE AS precision, round(sum(y * z) / sum(y), 6)::DOUBLE AS recall, count(DISTINCT CASE WHEN y = 1 THEN rule END) AS live FROM s")
+def f1_micro_parts(spark, d):
+    return evaluation.micro(_scored_orders(spark, d)).select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "live")
+
+
+@_add(f"WITH {_SCORED_SQL}, e AS (SELECT r, avg(y) AS p FROM (SELECT *, unnest(range(0, 200)) AS r FROM s WHERE z = 1) WHERE (id * 31 + r * 17) // 7 % 2 = 0 GROUP BY r) SELECT round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.05), 6) AS low, round(quantile_cont(p, 0.95), 6) AS high FROM e")
+def split_half_precision(spark, d):
+    found = evaluation.split_half(_scored_orders(spark, d), F.expr("(id * 31 + r * 17) div 7 % 2 = 0"))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("median", "low", "high")])
+
+
+@_add(f"WITH {_TWO} SELECT round(sum(len(list_sort(list_distinct(list_concat(a, b))))) / (count(*) * 20.0), 6)::DOUBLE AS baseline FROM x")
+def random_baseline(spark, d):
+    return evaluation.random_baseline(_two(spark, d), 20).select(F.round("baseline", 6).alias("baseline"))
+
+
+_KNOWN = ["P1", "P3", "P10"]
+_KNOWN_SQL = "list_filter([" + ", ".join(map(_q, _KNOWN)) + "], lambda k: list_contains({}, k))"
+
+
+@_add(f"""WITH {_TWO}, p AS (SELECT doc_id, {_KNOWN_SQL.format('list_concat(a, b)')} AS own, {_KNOWN_SQL.format('list_filter(a, lambda v: list_contains(b, v))')} AS agreed, {_AGREE} AS agreement FROM x),
+r AS (SELECT doc_id, 'before' AS kind, own AS labels, agreed AS labels_eval, agreement <> 'conflict' AND len(agreed) > 0 AS eval_ok FROM p WHERE len(own) > 0
+  UNION ALL SELECT doc_id, 'after', [], [], true FROM p WHERE len(own) > 0 UNION ALL SELECT doc_id, 'clean', [], [], true FROM documents)
+SELECT doc_id, kind, array_to_string(CASE WHEN eval_ok AND doc_id * 7919 % 100 < 30 THEN labels_eval ELSE labels END, ',') AS labels, eval_ok,
+  CASE WHEN NOT eval_ok OR doc_id * 7919 % 100 >= 30 THEN 'train' WHEN doc_id * 7919 % 100 < 15 THEN 'calib' ELSE 'test' END AS split FROM r""")
+def example_assembly(spark, d):
+    docs = _docs(spark, d)
+    pairs = _two(spark, d).join(docs.select("doc_id", F.col("text").alias("before"), F.upper("text").alias("after")), "doc_id")
+    rows = training.examples(pairs, docs.select("doc_id", "text"), _KNOWN, "doc_id", most_clean=1 << 30)
+    return training.three_way(rows, F.col("doc_id") * 7919 % 100).select("doc_id", "kind", F.array_join("labels", ",").alias("labels"), "eval_ok", "split")
+
+
+@_add("SELECT o_orderkey, i::INTEGER AS i, (CASE i WHEN 0 THEN 0 WHEN 1 THEN 18 + l ELSE 33 + l END)::INTEGER AS start, (CASE i WHEN 0 THEN 16 + l WHEN 1 THEN 32 + l ELSE 49 + 2 * l END)::INTEGER AS \"end\" FROM (SELECT o_orderkey, length(o_orderkey::VARCHAR) AS l, unnest([0, 1, 2]) AS i FROM orders)")
+def sentence_places(spark, d):
+    text = F.concat(F.lit("Order  "), "o_orderkey", F.lit(" is kept. \nIt waits here. Order  "), "o_orderkey", F.lit(" is kept."))
+    rows = _table(spark, d, "orders").select("o_orderkey", F.posexplode(sentences.located_sentences(text)).alias("i", "s"))
+    return rows.select("o_orderkey", "i", "s.start", "s.end")
+
+
 # ---------------------------------------------------------------- report fields
 
 

@@ -126,6 +126,12 @@ def walk(root: str, layers: Layers, wanted: Callable[[str], bool], node_modules:
             yield path
 
 
+def looks_like_path(argument: str, extensions: frozenset[str] = frozenset()) -> bool:
+    """Whether an argument names files rather than being a text: it exists, holds glob characters or a known extension, or is one word."""
+    known = os.path.splitext(argument)[1].lower() in extensions
+    return known or bool(set("*?[") & set(argument)) or os.path.exists(argument) or len(argument.split()) <= 1 and argument == argument.strip()
+
+
 def discover(arguments: list[str], exclude: list[str] = (), extra: tuple[str, ...] = (), markdown: bool = False, node_modules: bool = False) -> list[str]:
     """Paths in order, each once. A named file needs no known extension and passes ignore files (S9); a missing name is an
     error, a missing glob folder is not (S10)."""

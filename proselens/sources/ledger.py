@@ -9,14 +9,16 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+VERSION = "0.2"
 ENTRY = "kind string, recorded timestamp, version string, text string, rule string, note string, revision string"
 
 
 def append_entries(entries: DataFrame, path: str) -> None:
-    """Adds to the ledger; missing fields are null."""
-    names = [x.split()[0] for x in ENTRY.split(", ")]
+    """Adds to the ledger, with the time and this version where they are not given; other missing fields are null."""
+    own = {"recorded": F.current_timestamp(), "version": F.lit(VERSION)}
+    columns = [(n, own.get(n, F.lit(None)).cast(kind)) for n, kind in (x.split() for x in ENTRY.split(", "))]
     have = set(entries.columns)
-    entries.select(*[F.col(n) if n in have else F.lit(None).cast("string").alias(n) for n in names]).write.mode("append").json(path)
+    entries.select(*[(F.coalesce(F.col(n), c) if n in own else F.col(n)).alias(n) if n in have else c.alias(n) for n, c in columns]).write.mode("append").json(path)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -44,8 +46,13 @@ def strip_comments(text: str) -> str:
     return pattern.sub(lambda m: m.group() if m.group()[0] == '"' else re.sub(r"[^\n]", " ", m.group()), text)
 
 
-def load_config(path: str, seen: tuple[str, ...] = ()) -> dict:
-    """A file over what it extends; unknown keys, wrong types and cycles are errors."""
+def _is(value: object, kind: type) -> bool:
+    """Whole numbers are numbers, and true and false are not."""
+    return isinstance(value, (int, float) if kind is float else kind) and (kind is bool or not isinstance(value, bool))
+
+
+def load_config(path: str, seen: tuple[str, ...] = (), rules: frozenset[str] | None = None) -> dict:
+    """A file over what it extends; unknown keys, wrong types, cycles and, where rules are given, unknown rules are errors."""
     path = os.path.abspath(path)
     if path in seen:
         raise ConfigError(f"{path} extends itself")
@@ -57,10 +64,25 @@ def load_config(path: str, seen: tuple[str, ...] = ()) -> dict:
     if not isinstance(own, dict) or (unknown := sorted(set(own) - set(KEYS) - {"$schema"})):
         raise ConfigError(f"{path}: {'not an object' if not isinstance(own, dict) else f'unknown keys {unknown}'}")
     for key, value in own.items():
-        if key in KEYS and not isinstance(value, KEYS[key]):
+        if key in KEYS and not _is(value, KEYS[key]):
             raise ConfigError(f"{path}: {key} must be {KEYS[key].__name__}")
+        if key in ("disableRules", "enableRules") and rules is not None and (unknown := sorted(set(value) - rules)):
+            raise ConfigError(f"{path}: {key} names unknown rules {unknown}")
+        if key == "languageExtensions" and not all(k.startswith(".") and isinstance(v, str) for k, v in value.items()):
+            raise ConfigError(f"{path}: {key} maps extensions with their dot to languages")
     parent = own.pop("extends", None)
-    return (load_config(os.path.join(os.path.dirname(path), parent), (*seen, path)) if parent else {}) | own
+    return (load_config(os.path.join(os.path.dirname(path), parent), (*seen, path), rules) if parent else {}) | own
+
+
+def resolve_config(start: str, given: str | None = None, name: str = ".proselensrc", local: str = ".proselensrc.local", rules: frozenset[str] | None = None) -> dict:
+    """The named file, or the nearest at or above a folder, under a local file beside it."""
+    if given and not os.path.isfile(given):
+        raise ConfigError(f"{given}: no such file")
+    path = given or find_config(start, name)
+    if path is None:
+        return {}
+    beside = os.path.join(os.path.dirname(os.path.abspath(path)), local)
+    return load_config(path, rules=rules) | (load_config(beside, rules=rules) if os.path.isfile(beside) else {})
 
 
 def find_config(start: str, name: str = ".proselensrc") -> str | None:
