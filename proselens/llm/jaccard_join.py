@@ -218,7 +218,7 @@ def class_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         stars = stars.groupBy("class", "pivot").agg(F.count("*").alias("c"), F.first("l").alias("l"), F.first("k").alias("k")).filter("c >= least(l, k)")
         stars = stars.select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
         if tried is not None:
-            stars = stars.join(tried, ["a", "b"], "left_anti")
+            stars = stars.join(tried.hint("merge"), ["a", "b"], "left_anti")
         stars = written(stars, "stars")
         if stars.isEmpty():
             break
@@ -251,7 +251,7 @@ def _rest(family: DataFrame, postings: DataFrame, links: DataFrame | None, roots
     other = short.select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("other"), F.col("shared").alias("common"))
     pairs = short.join(other, "h").filter("root <> other AND class > b").filter(fit)
     pairs = pairs.groupBy(F.col("class").alias("a"), "b").agg(F.count("*").alias("c"), F.first("l").alias("l"), F.first("k").alias("k")).filter("c >= least(l, k)").select("a", "b")
-    todo = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    todo = pairs if tried is None else pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
     found = written(_verified(todo, family, percent), "found")
     members = lists.filter(F.col("many") > SHORT).select("pivot", "class").distinct()
     for depth in range(DEPTH + 1):
@@ -297,8 +297,8 @@ def _differences(members: DataFrame, family: DataFrame, percent: int) -> tuple[D
     parts = rows.select("pivot", "class", F.explode("apart").alias("x"))
     often = parts.groupBy("pivot", "x").agg(F.count("*").alias("often")).filter("often > 1")
     widest = rows.groupBy("pivot").agg(F.max("n").alias("widest"))
-    kept = parts.join(often, ["pivot", "x"]).groupBy("pivot", "class").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
-    rows = rows.drop("apart").join(kept, ["pivot", "class"]).join(widest, "pivot").withColumn("c", F.size("xs"))
+    kept = parts.join(often.hint("merge"), ["pivot", "x"]).groupBy("pivot", "class").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
+    rows = rows.drop("apart").join(kept.hint("merge"), ["pivot", "class"]).join(widest, "pivot").withColumn("c", F.size("xs"))
     most = share * (F.col("n") + F.least(F.col("n") * (100.0 / percent), F.col("widest").cast("double")))
     least = F.greatest(F.lit(1.0), F.col("d") - most, F.when(linked, (F.col("d") + share * (F.col("p") - F.col("n"))) / 2).otherwise(F.lit(1.0)))
     whole = lambda x: F.ceil(x - 1e-9).cast("int")
