@@ -33,7 +33,8 @@ def parse_entry(entry: str | int) -> tuple[int, int]:
 
 def disallowed(text: Column, ranges: list[tuple[int, int]] | None = None) -> Column:
     """Distinct code points above Latin-1 outside the ranges, in order of first sight."""
-    points = F.array_distinct(F.transform(F.split(text, ""), lambda c: F.ascii(c)))
+    rest = F.regexp_replace(text, r"[\x00-\xFF]+", "")  # most texts end here
+    points = F.array_distinct(F.transform(F.split(rest, ""), lambda c: F.ascii(c)))
 
     def kept(x: Column) -> Column:
         outside = x > LATIN1_MAX

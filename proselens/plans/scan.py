@@ -35,7 +35,9 @@ def claimed(rows: DataFrame, rules: frozenset[str] = frozenset({"C2", "C13", *ch
     rows = rows.withColumn("__points", points)
     marked = F.coalesce(F.size("__points") > 0, F.lit(False))
     if own:
-        rows = rows.withColumn("__left", F.when(prose & ~marked & checkers.prefilter(text, own), text)).withColumn("__fired", checkers.first_firing(own)("__left"))
+        rows = rows.withColumn("__left", F.when(prose & ~marked & checkers.prefilter(text, own), text))
+        # not deterministic to Catalyst, which would push the filter below, and the function with it, to run twice
+        rows = rows.withColumn("__fired", checkers.first_firing(own).asNondeterministic()("__left"))
     else:
         rows = rows.withColumn("__fired", F.lit(None).cast(f"struct<rule:string,spans:{checkers.SPAN}>"))
     code = F.col("verdict") == "code"
