@@ -361,6 +361,35 @@ def test_passages_whose_lines_stand_elsewhere_first(spark):
     assert {(r.doc_id, r.source_id) for r in found if r.end_word - r.start_word >= 60} == want
 
 
+def test_passages_against_brute_force(spark):
+    """Planted copies are found, and what is found agrees by a longest common subsequence of its own words."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(0, 80, 2):
+        source = prose(rng.randrange(60, 160)).split()
+        begin, size = rng.randrange(0, 15), rng.randrange(45, len(source) - 14)
+        copy = source[begin : begin + size]
+        for at in rng.sample(range(8, size - 8), size // 20):  # 5 % changed
+            copy[at] = f"changed{at}"
+        head = prose(rng.randrange(0, 30)).split()
+        rows += [(k, " ".join(source)), (k + 1, " ".join([*head, *copy, *prose(rng.randrange(0, 30)).split()]))]
+        want[k + 1, k] = (len(head), len(head) + size)
+    text = {i: x.split() for i, x in rows}
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        a, b = text[r.doc_id][r.start_word : r.end_word], text[r.source_id][r.source_start : r.source_end]
+        table = [0] * (len(b) + 1)
+        for w in a:
+            before = 0
+            for j, x in enumerate(b, 1):
+                before, table[j] = table[j], before + 1 if w == x else max(table[j], table[j - 1])
+        assert min(len(a), len(b)) >= 40 and table[-1] >= 0.8 * max(len(a), len(b)) and table[-1] / max(len(a), len(b)) >= r.similarity - 1e-5
+    assert {(r.doc_id, r.source_id) for r in found} == set(want)
+    for pair, (begin, end) in want.items():
+        spans = [(r.start_word, r.end_word) for r in found if (r.doc_id, r.source_id) == pair]
+        assert min(a for a, _ in spans) <= begin + 8 and max(b for _, b in spans) >= end - 8
+
+
 def test_common_words_of_gaps_of_any_size():
     rng = random.Random(3)
     for n, m in ((0, 4), (7, 0), (9, 12), (60, 40), (400, 300)):
