@@ -382,6 +382,11 @@ def test_passages_whose_lines_stand_elsewhere_first_and_before(spark):
     assert all(10 <= r.start_word <= 12 and 68 <= r.end_word <= 70 and 30 <= r.source_start <= 32 for r in found) and len(found) == len(want)
 
 
+def test_matches_far_behind_a_chain_are_a_chain():
+    x = [*range(5, 190, 3), 251, 254, 255, 256]
+    assert sorted(i for c in passages.chains(x, x) for i in c) == list(range(len(x)))
+
+
 def test_places_of_one_passage_are_paired():
     rng = np.random.default_rng(6)
     group, near = np.repeat([0, 1], 60), rng.integers(1, 4000, (120, 2 * passages.AROUND)).astype(np.uint16)
