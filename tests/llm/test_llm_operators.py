@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -382,6 +383,45 @@ def test_passages_whose_lines_stand_elsewhere_first_and_before(spark):
     assert all(10 <= r.start_word <= 12 and 68 <= r.end_word <= 70 and 30 <= r.source_start <= 32 for r in found) and len(found) == len(want)
 
 
+def test_passages_leave_no_shuffle_files(spark):
+    """What led to a written table is deleted with its execution, and texts of no pair are not dealt out for the search."""
+    lines = [prose(15) for _ in range(4)]
+    rows = [(i + 10 * k, f"{prose(20)} {line} {prose(20)}") for k in range(2) for i, line in enumerate(lines)]
+    rows += [(i, f"{prose(30)} {' '.join(lines)} {prose(30)}") for i in (8, 20)] + [(i, " ".join(f"u{i}x{j}" for j in range(300))) for i in range(100, 600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shuffled() -> dict[str, int]:
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+    before = shuffled()
+    left = lambda: sum(size for name, size in shuffled().items() if name not in before)
+    found = passages.passages(frame)
+    end = time.time() + 20
+    while left() > 100_000 and time.time() < end:  # files are deleted in the background
+        time.sleep(0.2)
+    assert left() < 100_000 < sum(len(text) for _, text in rows)
+    assert (20, 8) in {(r.doc_id, r.source_id) for r in found.collect()}
+    assert left() < 100_000
+
+
+def test_texts_that_no_pair_names_are_passed_over(spark):
+    once = spark.range(3000).selectExpr("if(id = 7, 9223372036854775807, id) __id", "cast(id % 5 as int) __hash", "string(id) text")
+    names = once.filter("text in (7, 8, 2999)").select("__id", "__hash")
+    assert {"7", "8", "2999"} <= (found := {r.text for r in passages._named(once, names).collect()}) and len(found) <= 5
+    assert passages._named(once, once.select("__id", "__hash")).count() == 3000
+    assert passages._named(once, names.filter("false")).count() == 0
+
+
+def test_passages_do_not_depend_on_passes(docs, monkeypatch):
+    found = []
+    for n in (1, 2, 3):
+        monkeypatch.setattr(passages, "PASSES", n)
+        found.append(sorted(map(tuple, passages.passages(docs).collect()), key=repr))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_matches_far_behind_a_chain_are_a_chain():
     x = [*range(5, 190, 3), 251, 254, 255, 256]
     assert sorted(i for c in passages.chains(x, x) for i in c) == list(range(len(x)))
