@@ -436,7 +436,7 @@ def _sentence_rows(spark, d) -> DataFrame:
 
 def _span_rows(spark, d) -> DataFrame:
     rows = _docs(spark, d).select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    start = F.expr("(doc_id * 37 + k * 53) % n_chars")
+    start = F.expr("(doc_id * 37 + k * 53) % nullif(n_chars, 0)")  # null for an empty text, as in SQL: it has no spans
     return rows.select("doc_id", F.expr("CASE (doc_id + k) % 3 WHEN 0 THEN 'P13' WHEN 1 THEN 'P14' ELSE 'P15' END").alias("rule"), start.alias("start"), (start + F.col("doc_id") % 150 + 20).alias("end")).distinct()
 
 

@@ -123,3 +123,11 @@ def test_no_term_is_dropped(spark):
     df = spark.createDataFrame([(words,), (words[::-1],), (["w1", "rare"],)], "words array<string>")
     branch = model.fit_branch(df, "words", 2)
     assert len(branch.counter.vocabulary) == len(branch.idf) == 270_000
+
+
+def test_empty_documents_have_no_spans(spark, tmp_path):
+    d = _tables(spark, tmp_path, ["", "x" * 250])
+    run = lambda name: catalog.queries()[name](spark, d)
+    assert {r.doc_id for name in ("span_sentence_overlap", "interval_merge", "unit_naming") for r in run(name).collect()} == {1}
+    left = {r.doc_id: r.n for r in run("unclaimed_sentences").collect()}
+    assert left[0] == 1
