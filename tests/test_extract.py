@@ -1,5 +1,7 @@
 """Lexers, run merge and markdown blocks on small sources."""
 
+import pyarrow as pa
+
 from proselens.operators import extract
 
 
@@ -42,3 +44,21 @@ def test_extract_merges_runs_and_reports_bad_files(spark):
         ("a.ts", 1, "line", "one\ntwo", 2), ("a.ts", 4, "line", "three", 4), ("a.ts", 5, "trailing", "t", 5), ("a.ts", 6, "line", "after", 6), ("b.py", 1, "line", "one\ntwo", 2),
     ]
     assert [r.path for r in skipped.collect()] == ["c.py"]
+
+
+def test_definitions_in_any_block_have_docstrings():
+    text = 'try:\n    def f():\n        "a"\nexcept E:\n    class A:\n        "b"\nelse:\n    with x:\n        async def g():\n            "c"\nmatch x:\n    case 1:\n        def h():\n            "d"\n'
+    assert [c["raw"] for c in extract.python_comments(text)] == ["a", "b", "c", "d"]
+
+
+def test_a_worker_holds_a_slice_of_files(spark, monkeypatch):
+    monkeypatch.setattr(extract, "SLICE_BYTES", 30)
+    batch = pa.RecordBatch.from_pydict({"path": list("abcde"), "text": ["x" * 20, "x" * 5, None, "x" * 99, ""]})
+    assert [b.num_rows for b in extract._slices(batch, extract.SLICE_BYTES)] == [3, 1, 1]
+
+
+def test_extract_neither_shuffles_nor_joins_files_of_one_path(spark):
+    files = spark.createDataFrame([("a.ts", "// one\n// two\n"), ("a.ts", "\n\n// three\n")], "path string, text string")
+    comments = extract.extract(files)[0]
+    assert sorted((r.line, r.text, r.end_line) for r in comments.collect()) == [(1, "one\ntwo", 2), (3, "three", 3)]
+    assert "Exchange" not in comments._jdf.queryExecution().executedPlan().toString()
