@@ -82,3 +82,23 @@ def test_the_filter_is_below_the_function(spark):
     rows = spark.range(3).selectExpr("concat('a', id) AS text")
     plan = checkers.check(rows)._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_first_rule_of_a_shared_view_is_that_of_each_alone(monkeypatch):
+    import random
+
+    random.seed(7)
+    parts = [", and ", ", so ", "it stays open for the run", "they run", "The socket is a handle", "`a, b; c`", '"no. so"', ", or whatever module replaces it", ", returns", " — ", "–", ". ", "e.g. ", "\n\n", "The parser", " that is", "(", "; "]
+    texts = ["".join(random.choices(parts, k=random.randint(1, 9))) for _ in range(3000)]
+    alone = [next(((r, s) for r in checkers.ORDER if (s := checkers.CHECKERS[r](t))), (None, [])) for t in texts]
+    assert {r for r, _ in alone} == {None, *checkers.ORDER}
+    calls = []
+    monkeypatch.setattr(checkers, "mask", lambda text, own=checkers.mask: calls.append(text) or own(text))
+    assert [checkers.first_of(checkers.ORDER, t) for t in texts] == alone
+    assert len(calls) == len(texts)
+
+
+def test_checkers_run_once_a_row(spark):
+    rows = spark.createDataFrame([(1, "a — b — c")], "id int, text string")
+    plan = checkers.check(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
