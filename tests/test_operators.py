@@ -141,3 +141,10 @@ def test_empty_documents_have_no_spans(spark, tmp_path):
 def test_silver_labels_read_words_and_blanks_as_sql(spark, before, after, labels):
     row = spark.createDataFrame([(before, after)], "b string, a string")
     assert row.select(silver.silver_labels(F.col("b"), F.col("a"))).first()[0] == labels
+
+
+def test_a_head_with_the_labels_of_the_gate_is_the_gate(spark):
+    rows = [("good words here", []), ("bad words there", ["A"]), ("good words again", []), ("bad words again", ["A"])] * 2
+    fitted = model.fit(spark.createDataFrame(rows, "text string, labels array<string>"), ["A", "B"])
+    assert fitted.heads["A"] is fitted.gate
+    assert fitted.heads["B"] is None
